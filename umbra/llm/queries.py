@@ -43,12 +43,28 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps."""
+    from .quality import select
+
+    kept = select(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return kept.select("doc_id", F.round("expected_grade", 9).alias("expected_grade"), F.round("p_best", 9).alias("p_best"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_byte_bpe": op2_byte_bpe,
         "op4_simhash": op4_simhash,
         "op5_url_filter": op5_url_filter,
         "op6_token_counts": op6_token_counts,
+        "op7_quality": op7_quality,
+        "op9_pii": op9_pii,
     }
 
 
