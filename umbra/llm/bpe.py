@@ -18,6 +18,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .pretoken import UNSURE, splitter
 
@@ -71,7 +72,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     """``df`` with ``text`` replaced by its ids under the name ``ids``."""
     others = [c for c in df.columns if c not in (text, ids)]
     source = df.select(*others, F.col(text).alias("_text"))
-    out = source.drop("_text").schema.add(ids, "array<int>")
+    out = T.StructType([*source.schema.fields[:-1], T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
@@ -85,7 +86,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids", raw: str = "decoded") -> DataFrame:
     """``df`` with the bytes of ``ids`` in a new column ``raw``; null ids decode to no bytes."""
     others = [c for c in df.columns if c != raw]
-    out = df.select(*others).schema.add(raw, "binary")
+    out = T.StructType([*df.select(*others).schema.fields, T.StructField(raw, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)

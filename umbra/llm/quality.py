@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BITS = 16
 GRADES = 3
@@ -140,7 +141,8 @@ def graded(documents: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array((1 - low).sum(axis=1)), pa.array(1 - low[:, -1])], [*others, "expected_grade", "p_best"])
 
     source = documents.select(*others)
-    return source.mapInArrow(run, source.schema.add("expected_grade", "double").add("p_best", "double"))
+    out = T.StructType([*source.schema.fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("p_best", T.DoubleType())])
+    return source.mapInArrow(run, out)
 
 
 def select(documents: DataFrame, labels: DataFrame, max_rows: int = 6000, least: float = LEAST) -> DataFrame:
