@@ -16,6 +16,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,20 +57,35 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.round("expected_grade", 9).alias("expected_grade"), F.round("p_best", 9).alias("p_best"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .annindex import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find
 
     return find(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_byte_bpe": op2_byte_bpe,
         "op4_simhash": op4_simhash,
         "op5_url_filter": op5_url_filter,
         "op6_token_counts": op6_token_counts,
         "op7_quality": op7_quality,
+        "op8_neighbours": op8_neighbours,
         "op9_pii": op9_pii,
+        "op10_html_text": op10_html_text,
     }
 
 
