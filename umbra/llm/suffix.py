@@ -48,8 +48,9 @@ def suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:
 def common_prefixes(seq: np.ndarray, sa: np.ndarray, cap: int, lane: int = 64) -> np.ndarray:
     """lcp[r]: symbols that suffixes sa[r - 1] and sa[r] share, up to ``cap``; lcp[0] is 0.
 
-    Kasai: going through the text, the common prefix shrinks by one at most. The text is cut into lanes of ``lane``
-    positions that advance together.
+    Kasai: going through the text, the common prefix shrinks by one at most, as long as the suffix after the former
+    neighbour still comes first; suffixes that are only ordered up to a depth may fail that, and start anew. The text
+    is cut into lanes of ``lane`` positions that advance together.
     """
     n = len(seq)
     lcp = np.zeros(n, np.int64)
@@ -59,6 +60,8 @@ def common_prefixes(seq: np.ndarray, sa: np.ndarray, cap: int, lane: int = 64) -
     rank[sa] = np.arange(n)
     base = np.arange(0, n, lane)
     h = np.zeros(len(base), np.int64)
+    after = np.full(len(base), n)  # the position after each lane's former neighbour
+    rank = np.append(rank, n)
     for t in range(min(lane, n)):
         i = base + t
         live = np.flatnonzero(i < n)
@@ -66,6 +69,8 @@ def common_prefixes(seq: np.ndarray, sa: np.ndarray, cap: int, lane: int = 64) -
         live, r = live[r > 0], r[r > 0]
         j = sa[r - 1]
         h = np.maximum(h - 1, 0)
+        h[live[rank[after[live]] > r]] = 0
+        after[live] = j + 1
         open_, p, q = live, i[live], j
         while len(open_):
             a, b = p + h[open_], q + h[open_]
@@ -76,5 +81,5 @@ def common_prefixes(seq: np.ndarray, sa: np.ndarray, cap: int, lane: int = 64) -
         lcp[r] = h[live]
         first = np.ones(len(h), bool)
         first[live] = False
-        h[first] = 0  # the first suffix of all has nothing before it
+        h[first], after[first] = 0, n  # the first suffix of all has nothing before it
     return lcp
