@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = r"(?U)\s+"
 TRIMMED = ".,;:()[]'’\""
@@ -29,7 +30,7 @@ def digits(v: Column) -> Column:
     return F.regexp_replace(v, r"(?U)\D", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normal_text(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """NFKC, collapsed, case-folded; null is empty. Compatibility forms have no built-in function."""
     import unicodedata

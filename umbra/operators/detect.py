@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.spans import resolve, snippet
 from ..schema import SPANS
 from .contextual import WORTH, contextual_udf
-from .structured import structured
+from .structured import births, births_after, lead_line, structured
 
 
 def with_context(units: DataFrame, window: int = 2, size: int = 800) -> DataFrame:
@@ -22,17 +22,27 @@ def with_context(units: DataFrame, window: int = 2, size: int = 800) -> DataFram
 
 
 def detect(units: DataFrame, contextual: bool = True, load_model: Callable | None = None) -> DataFrame:
-    """Adds ``spans``, resolved. Uses the column ``context`` where the units have one."""
-    text = F.coalesce("text", F.lit(""))
-    context = F.coalesce("context", F.lit("")) if "context" in units.columns else None
-    spans = structured(text, context)
-    if not contextual:
-        return units.withColumn("spans", resolve(spans))
-    # the UDF sees only texts that can hold a contextual value; the others are null to it
-    seen = units.withColumn("_seen", F.when(text.rlike(WORTH), text))
-    udf = contextual_udf(load_model=load_model)
-    found = seen.withColumn("_found", udf("_seen", F.lit("") if context is None else context))
-    return found.withColumn("spans", resolve(F.concat(spans, F.coalesce("_found", F.array().cast(SPANS))))).drop("_seen", "_found")
+    """Adds ``spans``, resolved. Uses the column ``context`` where the units have one.
+
+    What several expressions use is a column of its own, in a projection below theirs: written in place it would be
+    copied, and evaluated, once for each use.
+    """
+    own = units.columns
+    staged = units.withColumn("_text", F.coalesce("text", F.lit("")))
+    if "context" in own:
+        staged = staged.withColumn("_lead", lead_line(F.coalesce("context", F.lit(""))))
+        staged = staged.withColumn("_whole", F.concat("_lead", "_text")).withColumn("_cut", F.length("_lead"))
+        dates = births_after(F.col("_whole"), F.col("_cut"))
+    else:
+        dates = births(F.col("_text"))
+    staged = staged.withColumn("_found", structured(F.col("_text"), dates))
+    if contextual:
+        # the UDF sees only texts that can hold a contextual value; the others are null to it
+        seen = F.when(F.col("_text").rlike(WORTH), F.col("_text"))
+        context = F.coalesce("context", F.lit("")) if "context" in own else F.lit("")
+        staged = staged.withColumn("_more", contextual_udf(load_model=load_model)(seen, context))
+        staged = staged.withColumn("_found", F.concat("_found", F.coalesce("_more", F.array().cast(SPANS))))
+    return staged.withColumn("spans", resolve(F.col("_found"))).select(*[c for c in own if c != "spans"], "spans")
 
 
 def entities(units: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import SWEEP_EMAIL, SWEEP_PHONE
 from ..functions.scalars import audit_shape, location, normal_text, occurrences, split_location
-from ..functions.spans import find
+from ..functions.spans import as_spans, find
 from ..schema import TYPES
 
 
@@ -110,8 +110,10 @@ def uncovered(spans: DataFrame, by: DataFrame) -> DataFrame:
 
 def sweep(units: DataFrame) -> DataFrame:
     """Everything shaped like an e-mail address or a phone number, by looser shapes than the detectors'."""
-    rows = units.select("unit_id", F.explode(F.concat(*(F.transform(find(F.coalesce("text", F.lit("")), p), lambda x, k=k: F.struct(F.lit(k).alias("type"), x.alias("x"))) for k, p in (("EMAIL", SWEEP_EMAIL), ("PHONE", SWEEP_PHONE))))).alias("s"))
-    out = rows.select("unit_id", "s.type", "s.x.start", "s.x.end", F.trim("s.x.value").alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    shaped = F.concat(as_spans(find(text, SWEEP_EMAIL, "@"), "EMAIL", "sweep"), as_spans(find(text, SWEEP_PHONE), "PHONE", "sweep"))
+    rows = units.select("unit_id", F.explode(shaped).alias("s"))
+    out = rows.select("unit_id", "s.type", "s.start", "s.end", F.trim("s.text").alias("text"))
     return out.where((F.col("type") == "EMAIL") | F.regexp_replace("text", r"(?U)\D", "").rlike(r"(?U)\d{3}"))
 
 

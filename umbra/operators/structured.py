@@ -115,20 +115,18 @@ def births(text: Column) -> Column:
     return as_spans(F.concat(*spans), "DOB", "context-dob")
 
 
-def births_in_context(text: Column, context: Column) -> Column:
-    """With the last line of the context before the text; only dates of the text itself count."""
-    # trailing white space of the context is no line of its own
+def lead_line(context: Column) -> Column:
+    """The last line of a context, as a line before the text; empty without one. Trailing white space is no line."""
     line = F.element_at(F.split(F.regexp_replace(context, r"(?U)\s+\z", ""), "\r\n|[\r\n]", -1), -1)
-    lead = F.when(F.coalesce(context, F.lit("")).rlike(r"(?U)\S"), F.concat(line, F.lit("\n"))).otherwise("")
-    whole = F.concat(lead, text)
-    shifted = F.transform(
-        F.filter(births(whole), lambda s: s["start"] >= F.length(lead)),
-        lambda s: s.withField("start", (s["start"] - F.length(lead)).cast("int")).withField("end", (s["end"] - F.length(lead)).cast("int")),
-    )
-    return shifted
-
-
-def structured(text: Column, context: Column | None = None) -> Column:
-    """All spans of structured types, in the order of the detectors."""
-    dates = births(text) if context is None else births_in_context(text, context)
+    return F.when(context.rlike(r"(?U)\S"), F.concat(line, F.lit("\n"))).otherwise("")
+
+
+def births_after(whole: Column, lead: Column) -> Column:
+    """Dates of ``whole`` that lie behind its first ``lead`` characters, with offsets from there."""
+    moved = lambda s, f: (s[f] - lead).cast("int")
+    return F.transform(F.filter(births(whole), lambda s: s["start"] >= lead), lambda s: s.withField("start", moved(s, "start")).withField("end", moved(s, "end")))
+
+
+def structured(text: Column, dates: Column) -> Column:
+    """All spans of structured types, in the order of the detectors; ``dates`` from ``births`` or ``births_after``."""
     return F.concat(emails(text), ipv4(text), ipv6(text), ssns(text), cards(text), phones(text), dates)

@@ -12,7 +12,7 @@ from ..operators import evaluate as E
 from ..operators import replace as R
 from ..operators import structured as S
 from ..operators.detect import detect, entities, with_context
-from ..operators.propagate import propagate, residuals, seeds
+from ..operators.propagate import residuals, seeds
 from ..operators.verify import summary, values
 from ..sources import docx, tables
 from . import fixtures as X
@@ -175,7 +175,7 @@ def local_entities(spark, folder):
 
 
 def _propagated(spark: SparkSession) -> DataFrame:
-    return propagate(detect(with_context(X.documents(spark))).drop("context"))
+    return redact_units(X.documents(spark)).entities
 
 
 def seed_values(spark, folder):
@@ -183,11 +183,11 @@ def seed_values(spark, folder):
 
 
 def propagated_entities(spark, folder):
-    return entities(_propagated(spark)).where(F.col("detector").startswith("document-") & (F.col("detector") != "document-cross-unit")).select("doc_id", "seq", "type", "text", "detector")
+    return _propagated(spark).where(F.col("detector").startswith("document-") & (F.col("detector") != "document-cross-unit")).select("doc_id", "seq", "type", "text", "detector")
 
 
 def cross_unit_entities(spark, folder):
-    return entities(_propagated(spark)).where("detector = 'document-cross-unit'").select("doc_id", "seq", "type", "text", "identity")
+    return _propagated(spark).where("detector = 'document-cross-unit'").select("doc_id", "seq", "type", "text", "identity")
 
 
 def redacted_fixture(spark, folder):
