@@ -15,6 +15,7 @@ import hashlib
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +69,13 @@ def codec(ranks_path: str, pattern: str) -> Codec:
     return Codec(ranks_path, pattern)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches: ids take several times the memory of their text."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """``df`` with ``text`` replaced by its ids under the name ``ids``."""
     others = [c for c in df.columns if c not in (text, ids)]
@@ -76,9 +84,11 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
-        for b in batches:
-            made = pa.array([c.encode(t.as_py()) for t in b.column(len(others))], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], [*others, ids])
+        for b in small(batches):
+            made = [np.array(c.encode(t.as_py()), np.int32) for t in b.column(len(others))]
+            ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*made, np.empty(0, np.int32)])))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], [*others, ids])
 
     return source.mapInArrow(run, out)
 
@@ -90,8 +100,8 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
-        for b in batches:
-            made = pa.array([c.decode(x.as_py() or []) for x in b.column(others.index(ids))], pa.binary())
+        for b in small(batches):
+            made = pa.array([c.decode(x.values.tolist() if x.is_valid else []) for x in b.column(others.index(ids))], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, made], [*others, raw])
 
     return df.select(*others).mapInArrow(run, out)

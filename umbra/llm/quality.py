@@ -27,7 +27,7 @@ GRADES = 3
 #: Shapes of tokens; a share of 1 counts as much as this many words.
 SHAPES, SHAPE_SCALE = ("plain", "upper", "marked", "bar", "repeat"), 8.0
 EDGE = ".,;:!?()[]{}\"'|*#$%&_-+=/<>"
-CACHE = 400_000
+CACHE = 150_000
 #: Documents are kept from this probability of the best grade on.
 LEAST = 0.5
 
