@@ -95,7 +95,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, max_rows: int) -> lis
     return sorted((r[0], bytes(r[1]), bytes(r[2])) for r in got)[: 2 * max_rows]
 
 
-def fit(rows: list[tuple[int, bytes, bytes]], rounds: int = 250, l1: float = 2e-4, rate: float = 0.3) -> Model | None:
+def fit(rows: list[tuple[int, bytes, bytes]], rounds: int = 300, l1: float = 1e-3, rate: float = 0.3) -> Model | None:
     """None if there is nothing to tell apart."""
     grade = np.array([r[0] for r in rows])
     if len(np.unique(grade)) < 2:
