@@ -89,6 +89,7 @@ class Index:
     def find(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, start, end, edits) of every match in normalised texts."""
         batch, size = [], 0
+        seen: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for i, t in enumerate(texts):
             for j in self.short:
                 if (at := t.find(self.items[j])) >= 0:
@@ -98,11 +99,16 @@ class Index:
                 batch.append((i, at, part))
                 size += len(part)
                 if size >= SEGMENT:
-                    yield from self._in(batch)
+                    self._in(batch, seen)
                     batch, size = [], 0
-        yield from self._in(batch)
+        self._in(batch, seen)
+        for (i, j), found in seen.items():
+            for a, z, d in found:
+                yield i, j, a, z, d
 
-    def _in(self, parts: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int, int, int]]:
+    def _in(self, parts: list[tuple[int, int, bytes]], seen: dict[tuple[int, int], list[tuple[int, int, int]]]) -> None:
+        """Adds what the parts hold to ``seen``; of overlapping matches of an item, as two bands or two segments find
+        them, the one with the fewest edits stays."""
         if not parts or not len(self.hash):
             return
         h = gram_hashes((b"\0" * Q).join(p for _, _, p in parts) + b"\0" * Q)
@@ -126,7 +132,6 @@ class Index:
         fresh = np.flatnonzero(np.r_[True, (np.diff(both) != 0) | (np.diff(lane) != 0)]) if len(both) else np.empty(0, np.int64)
         n = np.diff(np.append(fresh, len(both)))
         keep = n >= self.shared[both[fresh] % len(self.items)]
-        seen: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for b, x in zip(both[fresh[keep]].tolist(), (lane[fresh[keep]] - (1 << 30)).tolist()):
             p, j = divmod(b, len(self.items))
             e = int(self.edits[j])
@@ -142,9 +147,6 @@ class Index:
                         break
                 else:
                     near.append(found)
-        for (i, j), found in seen.items():
-            for a, z, d in found:
-                yield i, j, a, z, d
 
 
 def aligned(item: bytes, region: bytes, e: int) -> list[tuple[int, int, int]]:
@@ -203,8 +205,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, bloc
 
         return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, start long, end long, edits long")
 
-    # segments of one text overlap, so a match may be found twice
-    return reduce(DataFrame.unionByName, map(search, indexes(benchmark, rate, block_bytes))).distinct()
+    return reduce(DataFrame.unionByName, map(search, indexes(benchmark, rate, block_bytes)))
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
