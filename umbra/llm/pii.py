@@ -21,7 +21,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns. A look-behind only spares tries inside a run of digits that its first digit already decides.

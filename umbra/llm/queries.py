@@ -97,6 +97,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    """Models, merges of tokenizers, hashes that SQL lacks and approximate search have none; tests hold them otherwise."""
+    from .suffixdedup import ORACLE as op3
     from .urlfilter import ORACLE as op5
 
-    return {"op5_url_filter": op5}
+    return {"op3_suffix_dedup": op3, "op5_url_filter": op5}

@@ -21,8 +21,6 @@ from each other; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -346,3 +344,20 @@ def remove_repeats(documents: DataFrame, with_text: bool = False, block_bytes: i
     answers = runs.groupBy("shard").applyInArrow(judge, "block long, part long, blob binary, answer boolean")
     messages = shared.withColumn("answer", F.lit(False)).unionByName(answers)
     return by_block.cogroup(messages.groupBy("block")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+-- in pieces, since a substring is found from the start of its string
+q AS (SELECT doc_id, q, substr(h, (2 * q + 1)::INT, 698) AS h FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49, 300)) AS q FROM d)),
+k AS (SELECT doc_id, q + p AS p, substr(h, (2 * p + 1)::INT, 100) AS s FROM (SELECT doc_id, q, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM q)),
+m AS (SELECT s, min(doc_id) AS low FROM k GROUP BY s HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS step FROM k JOIN m USING (s) WHERE low < doc_id),
+g AS (SELECT doc_id, p, count(*) FILTER (WHERE coalesce(step, 51) > 50) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM c),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM g GROUP BY doc_id, span),
+l AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, sum(z - a)::BIGINT AS gone, count(*) AS spans FROM r GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN gone IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(a) + 1), lambda i:
+    substr(h, (2 * (CASE WHEN i = 0 THEN 0 ELSE z[i] END) + 1)::INT, (2 * ((CASE WHEN i = len(a) THEN length(h) // 2 ELSE a[i + 1] END) - (CASE WHEN i = 0 THEN 0 ELSE z[i] END)))::INT)), '') END)) AS kept_sha256
+FROM d LEFT JOIN l USING (doc_id)
+"""
