@@ -93,6 +93,14 @@ def test_chunk_lines(spark, tmp_path):
     assert "secret" not in str(e.value).split("SQLSTATE")[0]
 
 
+def test_chunks_of_units(spark, tmp_path):
+    from umbra.operators.evaluate import chunked
+
+    jsonio.write_chunks(chunked(X.documents(spark), most=60), str(tmp_path / "chunks"))
+    back = spark.read.json(str(tmp_path / "chunks"))
+    assert back.count() == X.documents(spark).count() and back.where("doc_id = 3").select("chunk").distinct().count() > 1
+
+
 def test_digests(spark, package):
     import hashlib
 

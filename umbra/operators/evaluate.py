@@ -141,6 +141,17 @@ def audit_misses(predictions: DataFrame, units: DataFrame, annotations: DataFram
     return uncovered(annotations, located(predictions, units).where("start IS NOT NULL"))
 
 
+def audit_summary(predictions: DataFrame, units: DataFrame, annotations: DataFrame) -> DataFrame:
+    """One row: annotations by type, shapes without an annotation and their units, predictions and annotations alone."""
+    gaps = audit_gaps(units, annotations)
+    kinds = annotations.groupBy("type").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.concat_ws("=", "type", F.col("n").cast("string")))).alias("annotations"))
+    where = lambda kind: F.array_sort(F.collect_set(F.when(F.col("type") == kind, F.col("unit_id"))))
+    found = gaps.agg(*(f for k in ("EMAIL", "PHONE") for f in (F.count_if(F.col("type") == k).alias(f"{k.lower()}_gaps"), where(k).alias(f"{k.lower()}_units"))))
+    alone = audit_predictions(predictions, units, annotations).agg(F.count("*").alias("unmatched_predictions"))
+    missed = audit_misses(predictions, units, annotations).agg(F.count("*").alias("missed_annotations"))
+    return kinds.crossJoin(found).crossJoin(alone).crossJoin(missed)  # one row each
+
+
 def validate(annotations: DataFrame, units: DataFrame) -> DataFrame:
     """Annotations with a ``problem``: null where the offsets give back the text."""
     rows = annotations.join(units.select("unit_id", F.col("text").alias("unit_text")), "unit_id", "left")

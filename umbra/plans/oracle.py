@@ -197,6 +197,10 @@ ORACLE: dict[str, str] = {
         "('u3', 'ORG', 'no annotation overlaps this span', '1 token(s), 6 letters, 0 digits, 6 chars')", "('u3', 'PERSON', 'span not found in source unit', '2 token(s), 8 letters, 0 digits, 9 chars')",
     ),
     "audit_misses": rows('unit_id, type, start, "end"', "('u1', 'EMAIL', 9::INT, 25::INT)", "('u3', 'PERSON', 0, 11)", "('u3', 'PERSON', 3, 9)", "('u9', 'PERSON', 0, 1)"),
+    "audit_summary": rows(
+        "annotations, email_gaps, email_units, phone_gaps, phone_units, unmatched_predictions, missed_annotations",
+        "('EMAIL=1 PERSON=3 PHONE=1', 1::BIGINT, 'u1', 1::BIGINT, 'u2', 3::BIGINT, 4::BIGINT)",
+    ),
     "truth_validate": rows("unit_id, type, start, problem", "('u1', 'EMAIL', 9::INT, NULL)", "('u2', 'PHONE', 5, NULL)", "('u3', 'PERSON', 0, NULL)", "('u3', 'PERSON', 3, 'text differs')", "('u9', 'PERSON', 0, 'unknown unit')"),
     "truth_merge": rows('unit_id, type, text, start, "end"', "('u1', 'EMAIL', 'ann@mail.example', 9::INT, 25::INT)", "('u3', 'PERSON', 'Maya Verlin', 0, 11)", "('u3', 'PERSON', 'Maya Verlin', 13, 24)", "('u3', 'PERSON', 'Maya Verlin Oslin', 29, 46)"),
     "truth_rejects": rows("id, reason", "(4::BIGINT, 'bad type')", "(5, 'unknown unit')", "(6, 'not found')", "(8, 'not found')"),

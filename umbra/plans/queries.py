@@ -229,6 +229,12 @@ def audit_misses(spark, folder):
     return E.audit_misses(X.guessed(spark), X.audited(spark), X.marked(spark)).select("unit_id", "type", "start", "end")
 
 
+def audit_summary(spark, folder):
+    row = E.audit_summary(X.guessed(spark), X.audited(spark), X.marked(spark))
+    lists = {c: F.array_join(c, " ").alias(c) for c in ("annotations", "email_units", "phone_units")}
+    return row.select(*(lists.get(c, F.col(c)) for c in row.columns))
+
+
 def truth_validate(spark, folder):
     return E.validate(X.marked(spark), X.audited(spark)).select("unit_id", "type", "start", "problem")
 
@@ -270,7 +276,7 @@ QUERIES: dict[str, Query] = {
         units_scan, units_stats, full_text, neighbor_context, email_spans, email_domains, ipv4_spans, card_candidates, card_spans, phone_spans, structured_entities, entity_counts_by_type,
         rollup_source_type, pii_density, labels_vs_pii, pages_text_pii, conversations_pii, mapping_serials, replacement_values, redacted_documents, residual_check, value_shapes, luhn_numbers,
         truth_chunks, local_entities, seed_values, propagated_entities, cross_unit_entities, redacted_fixture, verification_summary, evaluate_by_type, evaluate_totals, unmatched_truth,
-        unmatched_predictions, audit_gaps, audit_predictions, audit_misses, truth_validate, truth_merge, truth_rejects, scalar_shapes, url_endpoints, docx_units, docx_redaction,
+        unmatched_predictions, audit_gaps, audit_predictions, audit_misses, audit_summary, truth_validate, truth_merge, truth_rejects, scalar_shapes, url_endpoints, docx_units, docx_redaction,
     )
 } | {
     "ssn_spans": _fixture(X.SSN, S.ssns),

@@ -52,3 +52,8 @@ def prediction_file(entities: DataFrame, source: str, output: str, seed: int = 1
     rows = entities.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("p"))
     listed = F.transform("p", lambda p: p.dropFields("seq"))
     return rows.select("doc_id", F.lit(source).alias("source"), F.lit(output).alias("output"), F.lit(seed).alias("seed"), F.size("p").alias("prediction_count"), listed.alias("predictions"))
+
+
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    """Units for review, a folder for each document and chunk; ``chunks`` has the column chunk."""
+    chunks.select("doc_id", "chunk", "unit_id", "seq", "text").sortWithinPartitions("doc_id", "chunk", "seq").write.partitionBy("doc_id", "chunk").json(path)
