@@ -10,6 +10,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of few splits, as a single small file is, dealt out to all cores; large tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def unit_id(part: Column, seq: Column) -> Column:
     return F.concat(part, F.lit(":p"), F.format_string("%04d", seq))
 
@@ -21,7 +27,7 @@ def lines(df: DataFrame, id_column: str, text: Column, part: str) -> DataFrame:
 
 
 def document_units(spark: SparkSession, folder: str) -> DataFrame:
-    return lines(table(spark, folder, "documents"), "doc_id", F.col("text"), "body")
+    return lines(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", F.col("text"), "body")
 
 
 def stripped(html: Column) -> Column:
@@ -30,7 +36,7 @@ def stripped(html: Column) -> Column:
 
 
 def page_units(spark: SparkSession, folder: str) -> DataFrame:
-    return lines(table(spark, folder, "pages"), "page_id", stripped(F.col("html")), "page")
+    return lines(spread(table(spark, folder, "pages").select("page_id", "html")), "page_id", stripped(F.col("html")), "page")
 
 
 def turn_units(spark: SparkSession, folder: str) -> DataFrame:
