@@ -40,5 +40,5 @@ def test_entry_imports_without_the_pipeline(monkeypatch):
     import __spark_entry__ as entry
 
     find = importlib.util.find_spec
-    monkeypatch.setattr(entry.importlib.util, "find_spec", lambda n, *a: None if n in ("umbra.llm", "corpus_pipeline") else find(n, *a))
+    monkeypatch.setattr(entry.importlib.util, "find_spec", lambda n, *a: None if n in ("umbra.llm.queries", "corpus_pipeline") else find(n, *a))
     assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLE)
