@@ -210,6 +210,10 @@ ORACLE: dict[str, str] = {
         "(3, 3, 'Asteron Technologies Pvt. Ltd.')", "(3, 4, 'Asteron Technologies Pvt. Ltd.')", "(4, 0, 'Mr. Aarav Mehta, Director')", "(4, 1, 'signed by Aarav Mehta')", "(4, 2, 'Aarav Mehta for all')",
         "(4, 3, 'tarun aarav.mehta@example.com')",
     ),
+    "verification_summary": rows(
+        "paragraph_like_units_checked, prediction_count, distinct_predicted_values, residual_original_value_count, hyperlinks_checked, stale_hyperlinks, field_codes_checked, stale_field_codes, passed",
+        "(14::BIGINT, 13::BIGINT, 12::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, true)",
+    ),
     "docx_redaction": rows(
         "unit_id, seq, text", "('word/document.xml:p0000', 0::INT, 'Contact person')", "('word/document.xml:p0001', 1, 'Aarav Mehta')", "('word/document.xml:p0002', 2, '')",
         "('word/document.xml:p0003', 3, 'link')", "('word/header1.xml:p0000', 4, 'head aarav.mehta@example.com')", "('word/footer1.xml:p0000', 5, 'foot')",
