@@ -237,8 +237,9 @@ def remove_repeats(documents: DataFrame, with_text: bool = False, block_bytes: i
         b = block_of(t)
         tags, shared = b.own_shared(b.tags(sets))
         part = np.searchsorted(tags, np.arange(sets + 1, dtype=np.uint64) << np.uint64(32))
-        blobs = [packed(tags[x:y].astype(np.uint32), shared[x:y]) for x, y in zip(part, part[1:])]
-        return pa.table({"block": pa.array([t["block"][0].as_py()] * sets, pa.int64()), "key_set": pa.array(range(sets), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        # no message without keys: where sets outnumber the keys of a block, there are no more messages than keys
+        sent = [(k, packed(tags[x:y].astype(np.uint32), shared[x:y])) for k, (x, y) in enumerate(zip(part, part[1:])) if x < y]
+        return pa.table({"block": pa.array([t["block"][0].as_py()] * len(sent), pa.int64()), "key_set": pa.array([k for k, _ in sent], pa.int64()), "blob": pa.array([x for _, x in sent], pa.binary())})
 
     def share_keys(t: pa.Table) -> pa.Table:
         got = [unpacked(x.as_py(), "<u4", "?") for x in t["blob"]]
@@ -250,8 +251,9 @@ def remove_repeats(documents: DataFrame, with_text: bool = False, block_bytes: i
         shared = np.empty(len(keys), bool)
         shared[by] = ((np.bincount(group) > 1) | (np.bincount(group, own[by]) > 0))[group] if len(keys) else False
         ends = np.cumsum([len(k) for k, _ in got])
-        blobs = [packed(k[shared[e - len(k) : e]]) for e, (k, _) in zip(ends, got)]
-        return pa.table({"block": t["block"], "part": t["key_set"], "blob": pa.array(blobs, pa.binary())})
+        back = [(i, packed(k[shared[e - len(k) : e]])) for i, (e, (k, _)) in enumerate(zip(ends, got)) if shared[e - len(k) : e].any()]
+        some = t.take(pa.array([i for i, _ in back], pa.int64()))
+        return pa.table({"block": some["block"], "part": some["key_set"], "blob": pa.array([x for _, x in back], pa.binary())})
 
     def shared_tags(t: pa.Table) -> np.ndarray:
         parts = [unpacked(x.as_py(), "<u4")[0].astype(np.uint64) | (np.uint64(s) << np.uint64(32)) for s, x in sorted(zip(t["part"].to_pylist(), t["blob"]), key=lambda p: p[0])]
