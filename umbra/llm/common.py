@@ -10,7 +10,10 @@ LOCAL_CHECKPOINTS = "/tmp/umbra-checkpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer splits than the cluster has cores, as a single small file is, is dealt out first."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def cut(df: DataFrame) -> DataFrame:
