@@ -163,6 +163,54 @@ def test_groups_of_similar_texts(spark, limit):
     assert left.columns == df.columns and sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == sorted(set(root.values())) and left.where("doc_id IS NULL").count() == 2
 
 
+def connected(sets, least=0.8):
+    """Components by brute force over all pairs, as the smallest position."""
+    names = sorted(set().union(*sets))
+    held = np.zeros((len(sets), len(names)), np.float32)
+    for i, x in enumerate(sets):
+        held[i, np.searchsorted(names, sorted(x))] = 1
+    both, size = held @ held.T, held.sum(1)
+    near, root = both >= least * (size[:, None] + size[None, :] - both) - 1e-4, np.arange(len(sets))
+    while True:
+        low = np.where(near, root[None, :], len(sets)).min(1)
+        if (low == root).all():
+            return root.tolist()
+        root = low
+
+
+def test_templates_are_linked_completely(spark, monkeypatch):
+    """Six one-word fields of ten values in 100 words: texts link where two fields at most differ, in crowded shards only."""
+    rng = np.random.default_rng(8)
+    texts = set()
+    while len(texts) < 2500:
+        words = [f"w{i}" for i in range(100)]
+        for f in range(6):
+            words[8 + 16 * f] = f"f{f}v{rng.integers(10)}"
+        texts.add(" ".join(words))
+    texts = sorted(texts)
+    want = connected([set(similar.shingles(t, 5).tolist()) for t in texts])
+    assert 1 < len(set(want)) < 400
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for crowd in (4096, 700):
+        monkeypatch.setattr(similar, "CROWD", crowd, raising=False)
+        got = {r.doc_id: r.group for r in similar.groups(df).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_forest_against_brute_force():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        pool = [rng.integers(0, 40, rng.integers(1, 14)) for _ in range(6)]
+        sets = [set(p.tolist()) ^ set(rng.integers(0, 40, rng.integers(0, 3)).tolist()) for p in pool for _ in range(12)]
+        sets = [set(x) for x in {frozenset(x) for x in sets if x}]
+        root = list(range(len(sets)))
+        links = similar.forest([np.array(sorted(x), np.uint64) for x in sets], 0.8)
+        assert len(links) < len(sets) and all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in links)
+        for a, b in links:
+            root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+        assert root == connected(sets)
+
+
 ODD = [(1, "a"), (1, "a"), (2, None), (None, None), (None, "b c"), (3, ""), (4, " \n\t "), (5, "x" * 300_000), (6, "word " * 40_000), (7, "😀é\x00\u0558")]
 
 
