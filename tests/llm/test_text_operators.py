@@ -296,6 +296,13 @@ def test_host_boilerplate(spark):
     assert got[None, "http://d.org/"].text == "x" and got[100, "http://b.org/"].n_chars == len(menu)
 
 
+def test_boilerplate_of_short_blocks(spark):
+    menu = "".join(f"<li>{w}</li>" for w in "home news sport weather travel culture shop login".split())
+    rows = [(i, f"http://a.org/{i}", f"<ul>{menu}</ul><p>words {i} of {i * 7} its {i * 13} own</p><div>about</div><div>terms of use</div><div>all rights reserved here</div>") for i in range(6)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"words {i} of {i * 7} its {i * 13} own" for i in range(6)}
+
+
 def test_covered_against_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(40):
