@@ -296,6 +296,12 @@ def test_host_boilerplate(spark):
     assert got[None, "http://d.org/"].text == "x" and got[100, "http://b.org/"].n_chars == len(menu)
 
 
+def test_blocks_are_joined_by_an_empty_line(spark):
+    rows = [(1, "http://a.org/", "<article><h1>Head</h1><p>one</p><p>two</p></article>"), (2, "http://b.org/", "<div>first</div><div>second</div>")]
+    got = {r.page_id: (r.text, r.n_chars) for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: ("Head\n\none\n\ntwo", 14), 2: ("first\n\nsecond", 13)}
+
+
 def test_boilerplate_of_short_blocks(spark):
     menu = "".join(f"<li>{w}</li>" for w in "home news sport weather travel culture shop login".split())
     rows = [(i, f"http://a.org/{i}", f"<ul>{menu}</ul><p>words {i} of {i * 7} its {i * 13} own</p><div>about</div><div>terms of use</div><div>all rights reserved here</div>") for i in range(6)]
