@@ -296,6 +296,21 @@ def test_host_boilerplate(spark):
     assert got[None, "http://d.org/"].text == "x" and got[100, "http://b.org/"].n_chars == len(menu)
 
 
+def test_repeats_meet_over_the_shards_of_a_host(spark):
+    """A notice on two pages of a host of 200; one page has it in an article, two without an id are one page."""
+    notice, other, third = ("alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight", "red orange yellow green blue indigo violet black")
+    own = lambda i: f"own words of page {i} that {i * 7} no other has {i * 13}"
+    more = {3: notice, 150: notice, 8: other, None: third}
+    rows = [(i, f"http://a.org/{i}", f"<div>{own(i)}</div><div>{more.get(i, '')}</div>") for i in range(200)]
+    rows += [(500, "http://a.org/x", f"<article><p>{other}</p></article>"), (None, "http://a.org/y", f"<div>{third}</div>"), (None, "http://a.org/z", f"<div>{third}</div>")]
+    rows += [(i, "http://b.org/", f"<article><p>{notice}</p></article>") for i in range(600, 640)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for shard in (8, 1000):
+        got = {(r.page_id, r.url): r.text for r in htmltext.extract(df, pages_in_shard=shard).collect()}
+        assert all(got[i, f"http://a.org/{i}"] == own(i) for i in range(200))
+        assert got[500, "http://a.org/x"] == other and got[None, "http://a.org/y"] == got[None, "http://a.org/z"] == third and got[600, "http://b.org/"] == notice
+
+
 def test_blocks_are_joined_by_an_empty_line(spark):
     rows = [(1, "http://a.org/", "<article><h1>Head</h1><p>one</p><p>two</p></article>"), (2, "http://b.org/", "<div>first</div><div>second</div>")]
     got = {r.page_id: (r.text, r.n_chars) for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
