@@ -263,6 +263,17 @@ def test_tagger_on_held_out_forms(tagger):
     assert hits >= 0.9 * total and base < 0.5 * total and wrong <= 0.02 * total
 
 
+def test_every_form_of_the_examples_has_windows(tagger):
+    for text, spans in pii.examples(600, seed=31):
+        for kind, a, b in spans:
+            alone = " ".join(["word"] * 40) + f" {text[a:b]} " + " ".join(["word"] * 40)
+            starts = pii.window_starts(alone)
+            assert any(s <= 200 and 200 + b - a <= s + pii.WINDOW for s in starts), (pii.KINDS[kind], text[a:b])
+    for text in ("write to john at example.com please", "write to maria at tionver.org please", "write to linger at ma dot net please"):
+        (_, added), = pii.all_spans(tagger, [text])
+        assert [text[a:b] for k, a, b in added if k == 0] == [text[9:-7]]
+
+
 def test_find_and_redact(spark, tagger):
     texts = ["mail bob@site.org or 10.0.0.1, card 4242 4242 4242 4242, +1 (202) 555-0147", None, "", "no data", "é" * 5000 + " bob@site.org"]
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, spans string")

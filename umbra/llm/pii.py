@@ -2,8 +2,8 @@
 
 Base spans (email, ip, card, phone) follow fixed patterns and always stay. The tagger is trained in numpy from
 labelled spans that ``examples`` makes: written-out and obfuscated forms that the patterns miss. It reads overlapping windows
-around every place where a span can be at all (a digit, an ``@`` or a written-out ``at``/``dot``; no kind has a
-valid value without one), each character takes the label of the window in which it lies furthest from an edge, and
+around every place where a span can be at all (a digit, an ``@``, a written-out ``at``/``dot``, or a plain ``at`` before a word
+with a dot; no kind has a valid value without one), each character takes the label of the window in which it lies furthest from an edge, and
 the labels of a text are then read as spans once. A tagged span is added if it is valid for its kind (Luhn, ranges, numbers of
 digits) and meets no base span and no added one.
 
@@ -260,7 +260,7 @@ def trained(n: int = 1200, epochs: int = 8, seed: int = 7) -> Tagger:
 # ---- windows, reconciliation, spans -------------------------------------------------------------------------------
 
 #: Where a span of any kind can be: each holds a digit, an @, or its written-out form.
-PLACE = re.compile(r"[0-9@]|[\[(]\s?(?:at|dot)\s?[\])]|\sdot\s", re.IGNORECASE)
+PLACE = re.compile(r"[0-9@]|[\[(]\s?(?:at|dot)\s?[\])]|\sdot\s|\sat\s(?=[^\s@]+\.[a-z0-9.-])", re.IGNORECASE)
 BATCH = 512
 
 
