@@ -197,6 +197,18 @@ def test_templates_are_linked_completely(spark, monkeypatch):
         assert [got[i] for i in range(len(texts))] == want
 
 
+def test_short_copies_with_far_fingerprints(spark):
+    """An eight-word text with a word added, 4 shingles within 5: pairs of fingerprints further apart than 18 bits."""
+    rng, docs = np.random.default_rng(3), []
+    while len(docs) < 40:
+        words = [f"s{w}" for w in rng.integers(0, 10**6, 9)]
+        pair = " ".join(words[:8]), " ".join(words)
+        if (simhash.fingerprint(pair[0], 5) ^ simhash.fingerprint(pair[1], 5)).bit_count() > 18:
+            docs += pair
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert {r.doc_id: r.group for r in similar.groups(df).collect()} == {i: i - i % 2 for i in range(40)}
+
+
 def test_forest_against_brute_force():
     rng = np.random.default_rng(9)
     for _ in range(60):
