@@ -209,6 +209,13 @@ def test_short_copies_with_far_fingerprints(spark):
     assert {r.doc_id: r.group for r in similar.groups(df).collect()} == {i: i - i % 2 for i in range(40)}
 
 
+def test_texts_that_share_an_id(spark):
+    first, second = (" ".join(f"{c}{i}" for i in range(30)) for c in "xy")
+    rows = [(1, first), (1, second), (1, second), (2, second + " more"), (3, first.upper()), (1, first + " end")]
+    left = similar.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in left] == [1, 1] and {r.text for r in left} in ({first, second}, {first + " end", second})
+
+
 def test_forest_against_brute_force():
     rng = np.random.default_rng(9)
     for _ in range(60):
