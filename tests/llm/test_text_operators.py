@@ -206,6 +206,11 @@ def test_decontamination_against_edit_distance():
     assert [x[:2] for x in index.find([b"a tiny one", b""])] == [(0, 5)]
 
 
+def test_every_match_of_a_short_item():
+    index = decontam.Index([1, 2], [b"abc", b"aa"], 0.06)
+    assert sorted(index.find([b"abc x abc aaaaa", b"none", b"abcabc"])) == [(0, 0, 0, 3, 0), (0, 0, 6, 9, 0), (0, 1, 10, 12, 0), (0, 1, 12, 14, 0), (2, 0, 0, 3, 0), (2, 0, 3, 6, 0)]
+
+
 def test_matches_across_segments(monkeypatch):
     monkeypatch.setattr(decontam, "SEGMENT", 300)
     item = decontam.normal(" ".join(f"w{i}x" for i in range(30)))

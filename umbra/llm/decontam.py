@@ -92,8 +92,10 @@ class Index:
         seen: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for i, t in enumerate(texts):
             for j in self.short:
-                if (at := t.find(self.items[j])) >= 0:
+                at = t.find(self.items[j])
+                while at >= 0:
                     yield i, j, at, at + len(self.items[j]), 0
+                    at = t.find(self.items[j], at + len(self.items[j]))  # of overlapping matches the first stays
             for at in range(0, max(1, len(t) - self.overlap), SEGMENT):
                 part = t[at : at + SEGMENT + self.overlap]
                 batch.append((i, at, part))
