@@ -73,24 +73,24 @@ class Block:
         self.lengths = np.array([len(raw[i]) for i in self.order], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         named = int(self.lengths[self.ids != NONE].sum())  # documents without an id come last and take no part
-        run_start, run_key, run_doc, run_end = [], [], [], []
         doc_ends = self.starts + self.lengths
+        # where a document begins, and where the windows that still lie in it end
+        bounds = np.unique(np.concatenate([self.starts, np.maximum(self.starts, doc_ends - LENGTH + 1)]))
+        run_start, run_key, run_end = [], [], []
         for at in range(0, max(0, named - LENGTH + 1), SLICE):
             key = window_keys(self.data[at : min(named, at + SLICE + LENGTH - 1)])
-            where = np.arange(at, at + len(key))
-            doc = np.searchsorted(self.starts, where, side="right") - 1
-            whole = where + LENGTH <= doc_ends[doc]
-            change = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (whole[1:] != whole[:-1])]
+            change = np.ones(len(key), bool)
+            np.not_equal(key[1:], key[:-1], out=change[1:])
+            change[bounds[np.searchsorted(bounds, at) : np.searchsorted(bounds, at + len(key))] - at] = True
             first = np.flatnonzero(change)
-            end = np.append(first[1:], len(key))
-            good = whole[first]
-            run_start.append(where[first[good]])
-            run_end.append(at + end[good])
-            run_key.append(key[first[good]])
-            run_doc.append(doc[first[good]])
+            run_start.append(at + first)
+            run_end.append(at + np.append(first[1:], len(key)))
+            run_key.append(key[first])
         join = lambda x, t: np.concatenate([*x, np.empty(0, t)]).astype(t)
-        self.start, self.end = join(run_start, np.int64), join(run_end, np.int64)  # of the windows of a run
-        self.key, self.doc = join(run_key, np.uint64), join(run_doc, np.int64)
+        self.start, self.end, self.key = join(run_start, np.int64), join(run_end, np.int64), join(run_key, np.uint64)
+        self.doc = np.searchsorted(self.starts, self.start, side="right") - 1
+        inside = self.start + LENGTH <= doc_ends[self.doc] if len(self.doc) else np.empty(0, bool)
+        self.start, self.end, self.key, self.doc = (x[inside] for x in (self.start, self.end, self.key, self.doc))
 
     def tags(self, sets: int) -> np.ndarray:
         """The set of each run's key, and 32 bits of it."""
@@ -104,23 +104,22 @@ class Block:
         low, high = (f.reduceat(d, first) if len(t) else d for f in (np.minimum, np.maximum))
         return t[first], low < high
 
-    def distinct_runs(self, shared: np.ndarray, sets: int, shards: int) -> tuple[dict[int, dict[bytes, int]], list[tuple[int, int, int, int]]]:
-        """For each shard its distinct run texts, numbered; and all runs with a shared key as (shard, number, doc, start).
+    def distinct_runs(self, shared: np.ndarray, sets: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Of the runs with a shared key, by shard: places, shards, the first place here with the same text, and the texts.
 
-        Documents come in the order of their ids, so the first that has a run is the smallest.
+        Documents come in the order of their ids, so the first that has a text is the smallest.
         """
         tags = self.tags(sets)
         k = np.searchsorted(shared, tags)
         wanted = np.flatnonzero(shared[np.minimum(k, len(shared) - 1)] == tags) if len(shared) else np.empty(0, np.int64)
         # every shard gets whole keys: equal windows meet
         shard = (_mixed(self.key[wanted] * C1) % np.uint64(shards)).astype(np.int64)
-        found: dict[int, dict[bytes, int]] = {}
-        runs = []
+        by = np.argsort(shard, kind="stable")
+        wanted, shard = wanted[by], shard[by]
         data = self.data
-        for s, a, b, d in zip(shard.tolist(), self.start[wanted].tolist(), self.end[wanted].tolist(), self.doc[wanted].tolist()):
-            mine = found.setdefault(s, {})
-            runs.append((s, mine.setdefault(data[a : b + LENGTH - 1], len(mine)), d, a))
-        return found, runs
+        texts = [data[a:z] for a, z in zip(self.start[wanted].tolist(), (self.end[wanted] + (LENGTH - 1)).tolist())]
+        first: dict[bytes, int] = {}
+        return wanted, shard, np.fromiter(map(first.setdefault, texts, range(len(texts))), np.int64, len(texts)), texts
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -145,13 +144,10 @@ class Shard:
         self.data = b"".join(texts)
         lengths = np.array([len(t) for t in texts], np.int64)
         seq = np.frombuffer(self.data, np.uint8)
-        sa = suffix_array(seq, LENGTH)
-        group = np.cumsum(common_prefixes(seq, sa, LENGTH) < LENGTH) - 1
-        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(seq))
-        whole = left[sa] >= LENGTH  # a window that crosses two runs is none
-        sa, group = sa[whole], group[whole]
-        first = np.flatnonzero(np.r_[True, np.diff(group) != 0]) if len(sa) else np.empty(0, np.int64)
-        self.string = np.full(len(seq), -1, np.int64)
+        # a window that crosses two runs is none
+        sa = suffix_array(seq, LENGTH, np.repeat(np.cumsum(lengths), lengths) - np.arange(len(seq)))
+        first = np.flatnonzero(common_prefixes(seq, sa, LENGTH) < LENGTH)
+        self.string = np.full(len(seq), -1, np.int32)
         self.string[sa] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(sa))))
         self.place = sa[first]
         doc = np.repeat(docs, lengths)[sa]
@@ -263,32 +259,33 @@ def remove_repeats(documents: DataFrame, with_text: bool = False, block_bytes: i
         out = {"block": [], "shard": [], "blob": []}
         if len(docs):
             b = block_of(docs)
-            found, runs = b.distinct_runs(shared_tags(keys), sets, shards)
-            first: dict[int, list[int]] = {s: [0] * len(x) for s, x in found.items()}
-            for s, number, d, _ in reversed(runs):
-                first[s][number] = d
-            for s, texts in found.items():
+            wanted, shard, first, texts = b.distinct_runs(shared_tags(keys), sets, shards)
+            own = np.flatnonzero(first == np.arange(len(first)))
+            lengths, ids = (b.end - b.start + (LENGTH - 1))[wanted[own]].astype(np.uint32), b.ids[b.doc[wanted[own]]]
+            cuts = np.flatnonzero(np.diff(shard[own], prepend=-1)).tolist()
+            for x, y in zip(cuts, [*cuts[1:], len(own)]):
                 out["block"].append(docs["block"][0].as_py())
-                out["shard"].append(s)
-                out["blob"].append(packed(np.array([len(x) for x in texts], np.uint32), b.ids[first[s]], np.frombuffer(b"".join(texts), np.uint8)))
+                out["shard"].append(int(shard[own[x]]))
+                out["blob"].append(packed(lengths[x:y], ids[x:y], np.frombuffer(b"".join(map(texts.__getitem__, own[x:y].tolist())), np.uint8)))
         return pa.table({"block": pa.array(out["block"], pa.int64()), "shard": pa.array(out["shard"], pa.int64()), "blob": pa.array(out["blob"], pa.binary())})
 
     def judge(t: pa.Table) -> pa.Table:
         known: dict[bytes, int] = {}
-        docs: list[int] = []
-        mine = []
+        mine, asked = [], []
         for x in t["blob"]:
             lengths, ids, raw = unpacked(x.as_py(), "<u4", "<i8", "u1")
-            raw, ends, numbers = raw.tobytes(), np.cumsum(lengths, dtype=np.int64).tolist(), []
-            for n, e, d in zip(lengths.tolist(), ends, ids.tolist()):
-                k = known.setdefault(raw[e - n : e], len(known))
-                if k == len(docs):
-                    docs.append(d)
-                elif d < docs[k]:
-                    docs[k] = d
-                numbers.append(k)
-            mine.append(np.array(numbers, np.int64))
-        count, offset, low = smallest_ids(list(known), np.array(docs, np.int64), shard_bytes)
+            raw, ends = raw.tobytes(), np.cumsum(lengths, dtype=np.int64)
+            # each text has the number of its first place among all; places of texts that came before stay unused
+            texts = [raw[a:z] for a, z in zip((ends - lengths).tolist(), ends.tolist())]
+            at = sum(map(len, mine))
+            mine.append(np.fromiter(map(known.setdefault, texts, range(at, at + len(texts))), np.int64, len(texts)))
+            asked.append(ids)
+        every = np.concatenate(mine)
+        place, number = np.unique(every, return_inverse=True)
+        docs = np.full(len(place), NONE)
+        np.minimum.at(docs, number, np.concatenate(asked))
+        mine = np.split(number, np.cumsum([len(m) for m in mine])[:-1])
+        count, offset, low = smallest_ids(list(known), docs, shard_bytes)
         begin = np.cumsum(count) - count
         blobs = []
         for numbers in mine:
@@ -306,26 +303,31 @@ def remove_repeats(documents: DataFrame, with_text: bool = False, block_bytes: i
             is_answer = messages["answer"].combine_chunks() if len(messages) else pa.array([], pa.bool_())
             tags = shared_tags(messages.filter(pa.compute.invert(is_answer)))
             answers = messages.filter(is_answer)
-            _, runs = b.distinct_runs(tags, sets, shards)
+            wanted, shard, first, _ = b.distinct_runs(tags, sets, shards)
+            # texts are numbered by shard in the order in which they were sent
+            sent = first == np.arange(len(first))
+            number = np.cumsum(sent) - 1
+            begun, ended = [], []
+            for s, blob in zip(answers["part"].to_pylist(), answers["blob"]):
+                n, offset, low = unpacked(blob.as_py(), "<u4", "<u4", "<i8")
+                n, offset = n.astype(np.int64), offset.astype(np.int64)
+                here = np.arange(*np.searchsorted(shard, [s, s + 1]))
+                mine = number[first[here]] - number[here[0]]
+                k = n[mine]
+                take = np.repeat((np.cumsum(n) - n)[mine] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+                who = np.repeat(wanted[here], k)
+                a = b.start[who] + offset[take]
+                # a stretch of windows ends where the next of its run begins
+                last = np.append(np.repeat(here, k)[1:] != np.repeat(here, k)[:-1], True) if len(who) else np.empty(0, bool)
+                z = np.where(last, b.end[who], np.append(a[1:], 0))
+                gone = low[take] < b.ids[b.doc[who]]
+                begun.append(a[gone])
+                ended.append(z[gone] + LENGTH - 1)
             marks = np.zeros(len(b.data) + 1, np.int32)
-            if runs:
-                shard, number, doc, start = np.array(runs, np.int64).T
-                end = b.end[np.searchsorted(b.start, start)]
-                for s, blob in zip(answers["part"].to_pylist(), answers["blob"]):
-                    n, offset, low = unpacked(blob.as_py(), "<u4", "<u4", "<i8")
-                    n, offset = n.astype(np.int64), offset.astype(np.int64)
-                    here = np.flatnonzero(shard == s)
-                    k = n[number[here]]
-                    take = np.repeat((np.cumsum(n) - n)[number[here]] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-                    who = np.repeat(here, k)
-                    a = start[who] + offset[take]
-                    # a stretch of windows ends where the next of its run begins
-                    last = np.r_[who[1:] != who[:-1], True] if len(who) else np.empty(0, bool)
-                    z = np.where(last, end[who], np.append(a[1:], 0))
-                    gone = low[take] < b.ids[doc[who]]
-                    np.add.at(marks, a[gone], 1)
-                    np.add.at(marks, z[gone] + LENGTH - 1, -1)
-            on = np.cumsum(marks[:-1]) > 0
+            for places, sign in ((begun, 1), (ended, -1)):
+                if places:
+                    marks += sign * np.bincount(np.concatenate(places), minlength=len(marks)).astype(np.int32)
+            on = np.cumsum(marks[:-1], dtype=np.int32) > 0
             data = np.frombuffer(b.data, np.uint8)
             for i, (s, n) in enumerate(zip(b.starts.tolist(), b.lengths.tolist())):
                 gone = on[s : s + n]
