@@ -1,5 +1,11 @@
 """Every query against its SQL on the smallest tables."""
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -34,11 +40,15 @@ def test_verification_passes(spark):
     assert row.passed and row.residual_original_value_count == 0 and row.prediction_count == 13
 
 
-def test_entry_imports_without_the_pipeline(monkeypatch):
-    import importlib.util
-
-    import __spark_entry__ as entry
-
-    find = importlib.util.find_spec
-    monkeypatch.setattr(entry.importlib.util, "find_spec", lambda n, *a: None if n in ("umbra.llm.queries", "corpus_pipeline") else find(n, *a))
-    assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLE)
+def test_entry_without_the_training_data_folders(tmp_path):
+    """On a copy without the folders: all else imports, and nothing of theirs is registered."""
+    root = Path(__file__).resolve().parents[1]
+    for drop in (("corpus_pipeline.py",), ()):
+        copy = tmp_path / f"copy{len(drop)}"
+        shutil.copytree(root / "umbra", copy / "umbra", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+            if name not in drop and (root / name).exists():
+                shutil.copy(root / name, copy)
+        code = "import __spark_entry__ as e; print(*sorted(e.queries()), '|', *sorted(e.oracle_sql()))"
+        said = subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True, check=True).stdout
+        assert said.split("|")[0].split() == sorted(QUERIES) and said.split("|")[1].split() == sorted(ORACLE)
