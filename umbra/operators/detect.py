@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import resolve, snippet
 from ..schema import SPANS
-from .contextual import WORTH, contextual_udf
+from .contextual import contextual_udf, worth
 from .structured import births, births_after, lead_line, structured
 
 
@@ -37,10 +37,11 @@ def detect(units: DataFrame, contextual: bool = True, load_model: Callable | Non
         dates = births(F.col("_text"))
     staged = staged.withColumn("_found", structured(F.col("_text"), dates))
     if contextual:
-        # the UDF sees only texts that can hold a contextual value; the others are null to it
-        seen = F.when(F.col("_text").rlike(WORTH), F.col("_text"))
         context = F.coalesce("context", F.lit("")) if "context" in own else F.lit("")
-        staged = staged.withColumn("_more", contextual_udf(load_model=load_model)(seen, context))
+        staged = staged.withColumn("_kinds", worth(F.col("_text"), context))
+        # the UDF sees only texts that can hold a contextual value; the others, and their context, are null to it
+        seen = F.lit(True) if load_model else F.col("_kinds") > 0
+        staged = staged.withColumn("_more", contextual_udf(load_model)(F.when(seen, F.col("_text")), F.when(seen, context), F.col("_kinds")))
         staged = staged.withColumn("_found", F.concat("_found", F.coalesce("_more", F.array().cast(SPANS))))
     return staged.withColumn("spans", resolve(F.col("_found"))).select(*[c for c in own if c != "spans"], "spans")
 
