@@ -200,6 +200,27 @@ def write_packages(packages: DataFrame, replaced: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "path string, content binary")
 
 
+def page_packages(files: DataFrame, units: DataFrame) -> DataFrame:
+    """(path) of PDF files and their units, one for each page, to (path, content) of packages: a heading for each page, then its
+    lines. A file without units gives an empty package."""
+    from pyspark.sql import functions as F
+
+    pages = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "unit_id", "text"))).alias("pages"))
+    rows = files.selectExpr("path", "xxhash64(path) AS doc_id").join(pages, "doc_id", "left").select("path", "pages")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = []
+            for pages in pdf["pages"]:
+                lines = []
+                for p in () if pages is None else pages:
+                    lines += [f"Source page {p['unit_id'].rsplit('-', 1)[-1]}", *((p["text"] or "").splitlines() or [""])]
+                made.append(build(lines))
+            yield pd.DataFrame({"path": [re.sub(r"(?i)\.pdf$", ".docx", p) for p in pdf["path"]], "content": made})
+
+    return rows.mapInPandas(run, "path string, content binary")
+
+
 def build(paragraphs: list[str], header: list[str] = (), footer: list[str] = (), field: str = "", link: str = "") -> bytes:
     """A small package, for fixtures: paragraphs of the body, a header, a footer, a field code and a link target."""
     from xml.sax.saxutils import escape, quoteattr

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import location
 from ..schema import ANNOTATION
 
-ITEM = "type string, text string, unit_id string, location string, part string, start int, end int, context string, score double, detector string, identity string"
+ITEM = "doc_id long, type string, text string, unit_id string, location string, part string, start int, end int, context string, score double, detector string, identity string"
 
 
 def read_items(spark: SparkSession, path: str, under: str) -> DataFrame:
@@ -25,6 +25,11 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return read_items(spark, path, "annotations")
 
 
+def read_source(spark: SparkSession, path: str) -> str | None:
+    """The document that a file of annotations says it is of; null for a list."""
+    return spark.read.text(path, wholetext=True).select(F.get_json_object("value", "$.source")).first()[0]
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return read_items(spark, path, "predictions")
 
