@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
-LOCAL_CHECKPOINTS = "/tmp/umbra-checkpoints"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; one of fewer splits than the cluster has cores, as a single small file is, is dealt out first."""
@@ -16,12 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's shared folder. Where it is unset, a temporary one, but only if all runs in one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back: later stages survive lost executors."""
     spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
     return df.checkpoint(eager=True)
 
 
