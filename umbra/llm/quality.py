@@ -6,7 +6,7 @@ P(grade <= j) = sigmoid(threshold[j] - w.x). Features are the hashed lower-cased
 over at most ``max_rows`` labelled rows, those with the smallest hash of doc_id; everything else reads whole tables.
 
 Null and empty texts have no features and get the prior grade. Rows with null labels or ids don't train; several labels of one
-id count once, with the worst. Without labelled rows of two grades every document is kept with the best grade.
+id count once, with the worst; of several texts of one id the one with the smallest hash trains. Without labelled rows of two grades every document is kept with the best grade.
 Repeated rows are each scored; empty tables give no rows; other columns, whatever their names, pass through ``keep``.
 """
 
@@ -91,8 +91,27 @@ def training_rows(documents: DataFrame, labels: DataFrame, max_rows: int) -> lis
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype(np.int32).tobytes() for x, _ in got], pa.binary()), pa.array([y.tobytes() for _, y in got], pa.binary())], ["grade", "buckets", "shares"])
 
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # one text for each id, so no more rows than ids come to the driver however often an id is repeated
+    rows = rows.groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     got = rows.select("grade", "text").mapInArrow(run, "grade int, buckets binary, shares binary").collect()
-    return sorted((r[0], bytes(r[1]), bytes(r[2])) for r in got)[: 2 * max_rows]
+    return sorted((r[0], bytes(r[1]), bytes(r[2])) for r in got)
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def loss(w: np.ndarray, theta: np.ndarray, grade: np.ndarray, row: np.ndarray, column: np.ndarray, shares: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood, and its gradient by weights and by thresholds. ``row`` and ``column`` are the words that are there."""
+    s = np.bincount(row, w[column], len(grade)) + shares @ w[-len(SHAPES) :]
+    cuts = np.append(theta, 40)
+    upper = np.where(grade < GRADES - 1, sigmoid(cuts[grade] - s), 1.0)
+    lower = np.where(grade > 0, sigmoid(cuts[grade - 1] - s), 0.0)
+    p = np.maximum(upper - lower, 1e-9)
+    du, dl = upper * (1 - upper) * (grade < GRADES - 1), lower * (1 - lower) * (grade > 0)
+    ds = (du - dl) / p / len(grade)  # of the loss by the score
+    by_threshold = np.array([-(du / p)[grade == j].sum() + (dl / p)[grade == j + 1].sum() for j in range(GRADES - 1)]) / len(grade)
+    return float(-np.log(p).mean()), np.append(np.bincount(column, ds[row], 1 << BITS), ds @ shares), by_threshold
 
 
 def fit(rows: list[tuple[int, bytes, bytes]], rounds: int = 300, l1: float = 1e-3, rate: float = 0.3) -> Model | None:
@@ -109,16 +128,8 @@ def fit(rows: list[tuple[int, bytes, bytes]], rounds: int = 300, l1: float = 1e-
     theta = np.sort(np.log(reached / (1 - reached)) + np.arange(GRADES - 1) * 1e-3)
     w, total, square = np.zeros(size), np.zeros(size), np.full(size, 1e-8)
     t_total, t_square = np.zeros(GRADES - 1), np.full(GRADES - 1, 1e-8)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for t in range(1, rounds + 1):
-        s = np.bincount(row, w[column], len(rows)) + shares @ w[-len(SHAPES) :]
-        upper = np.where(grade < GRADES - 1, sig(np.append(theta, 40)[grade] - s), 1.0)
-        lower = np.where(grade > 0, sig(np.append(theta, 40)[grade - 1] - s), 0.0)
-        p = np.maximum(upper - lower, 1e-9)
-        du, dl = upper * (1 - upper) * (grade < GRADES - 1), lower * (1 - lower) * (grade > 0)
-        ds = (du - dl) / p / len(rows)  # of the loss by the score
-        g = np.append(np.bincount(column, ds[row], 1 << BITS), ds @ shares)
-        gt = np.array([-(du / p)[grade == j].sum() + (dl / p)[grade == j + 1].sum() for j in range(GRADES - 1)]) / len(rows)
+        _, g, gt = loss(w, theta, grade, row, column, shares)
         total += g
         square += g * g
         w = -np.sign(total) * rate * np.maximum(np.abs(total) - l1 * t, 0) / np.sqrt(square)
