@@ -3,15 +3,17 @@
 Both halves of the vectors are quantised separately (k-means on at most ``max_sample`` vectors, those with the smallest
 hash of vec_id); a cell is a pair of centroids and every vector is indexed. For a query the pairs are visited with a heap in
 the order of their summed distance, which for this measure is the negative inner product of the query's halves with the
-centroids, until the cells hold ``share`` of all vectors (and enough for k). Their entries are then reranked exactly, in
-double precision on the original vectors, summed component by component.
+centroids, until the cells hold a share of all vectors (and enough for k). The share is measured on the sample: the least that
+reaches ``recall`` of the exact neighbours there. Entries of the cells are then reranked exactly, in double precision on the
+original vectors, summed component by component.
 
 Cells lie in blocks of about ``block_rows`` vectors; a cell larger than that is cut by hash of vec_id, so equal vectors in any
 number never meet in one task. Queries go to the blocks of their cells in groups of ``query_rows``.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do null
-ids. Ties go to the smaller vec_id. Repeated rows are candidates each, rows with the query's own id are not; a table
-without valid vectors gives no rows; other columns are not read.
+ids. Ties go to the smaller vec_id. Repeated rows are candidates each, so one id may stand in a list as often as in the table;
+rows with the query's own id are none. A query id has one list, that of its smallest vector if it has several. A table without
+valid vectors gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -78,6 +80,26 @@ class Quantiser:
         return out
 
 
+def measured_share(x: np.ndarray, quantiser: Quantiser, total: int, k: int, recall: float, queries: int = 256) -> float:
+    """Share of the vectors to visit so that ``recall`` of the k nearest of ``total`` lie in the cells, from a sample ``x``.
+
+    Of a sample, the nearest k * len(x) / total stand for the k nearest of all.
+    """
+    near = int(np.clip(round(k * len(x) / total), 1, len(x) - 1))
+    half = quantiser.half
+    cells = quantiser.cells(x)
+    first, second = np.divmod(cells, len(quantiser.second))
+    own = np.arange(0, len(x), max(1, len(x) // queries))
+    reached = []
+    for i in own.tolist():
+        cost = -(quantiser.first @ x[i, :half])[first] - (quantiser.second @ x[i, half:])[second]
+        score = x @ x[i]
+        score[i] = -np.inf
+        nearest = np.argpartition(-score, near - 1)[:near]
+        reached += np.searchsorted(np.sort(cost), cost[nearest], side="right").tolist()
+    return float(np.quantile(reached, recall)) / len(x)
+
+
 def valid_vectors(embeddings: DataFrame) -> tuple[DataFrame, int]:
     """(vec_id, v double[]) of the vectors that take part, and their length (0: none)."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
@@ -109,7 +131,7 @@ def best(q: np.ndarray, ids: np.ndarray, x: np.ndarray, own: int, k: int) -> tup
     return ids[keep][by], exact[by]
 
 
-def search(embeddings: DataFrame, every: int = 20, k: int = 20, share: float = 0.7, max_sample: int = SAMPLE, block_rows: int = 4096, query_rows: int = 8192) -> DataFrame:
+def search(embeddings: DataFrame, every: int = 20, k: int = 20, recall: float = 0.95, max_sample: int = SAMPLE, block_rows: int = 4096, query_rows: int = 8192) -> DataFrame:
     """Queries are the rows whose vec_id is divisible by ``every``: (query_id, rank, vec_id, score)."""
     spark = embeddings.sparkSession
     rows, d = valid_vectors(embeddings)
@@ -123,6 +145,7 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, share: float = 0
     sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_sample).select("v").collect()])
     centroids = int(np.clip(round((total / IN_CELL) ** 0.5), 8, MOST))
     quantiser = Quantiser(kmeans(sample[:, : d // 2], centroids), kmeans(sample[:, d // 2 :], centroids))
+    share = measured_share(sample, quantiser, total, k, recall) if len(sample) > 1 else 1.0
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,7 +191,8 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, share: float = 0
                 yield pa.RecordBatch.from_arrays([pa.array(to[first]), pa.array([own] * n, pa.int64()), pa.array([v.tolist()] * n, pa.list_(pa.float64())), lists], ["block", "query_id", "q", "cells"])
 
     index = indexed.mapInArrow(placed, "vec_id long, v array<double>, cell long, block long").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    queries = rows.where(F.col("vec_id") % every == 0).mapInArrow(asked, "block long, query_id long, q array<double>, cells array<long>")
+    own = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = own.mapInArrow(asked, "block long, query_id long, q array<double>, cells array<long>")
     queries = queries.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -183,11 +207,5 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, share: float = 0
         return pa.table({"query_id": pa.array(made["query_id"], pa.int64()), "vec_id": pa.array(made["vec_id"], pa.int64()), "score": pa.array(made["score"], pa.float64())})
 
     found = index.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInArrow(rerank, "query_id long, vec_id long, score double")
-    # a query may stand in the table more than once: its list is the same each time
-    ranked = found.distinct() if _repeats(rows) else found
-    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _repeats(rows: DataFrame) -> bool:
-    return bool(rows.groupBy("vec_id").count().where("count > 1").limit(1).count())
