@@ -4,12 +4,13 @@ Fingerprint: bit i is set if it is set in more than half of the XXH64 hashes (se
 Two fingerprints link at ``radius`` or fewer differing bits. Links are found between *distinct* fingerprints, so a
 group of exact copies is one row whatever its size.
 
-Shards: the 64 bits are cut into radius + 1 blocks; linked fingerprints agree on one block at least, and a shard
-holds the fingerprints that agree on a block. Every shard gets a BK-tree (children keyed by their Hamming distance to
+Shards: the 64 bits are cut into radius + 1 pieces; linked fingerprints agree on one piece at least, and a shard
+holds the fingerprints that agree on a piece. Every shard gets a BK-tree (children keyed by their Hamming distance to
 the parent); each of its members is looked up and follows only edges within the radius of its own distance. All
-trees of a batch are built and searched level by level in numpy. A shard larger than ``shard_limit`` (values with many
-near copies) is linked the other way, exactly and without pairs, for radius 2: two fingerprints are linked when a
-flip of at most one bit of each meets, so 65 rows for each fingerprint are grouped by value.
+trees of a batch are built and searched level by level in numpy. Where a shard has over ``shard_limit`` members (values with
+many near copies), the bits on which they need not agree are cut into pieces in turn, and its members go to the finer shards
+of those that agree on one of these too, down to ``FREE`` open bits. A tree stands in the task that has its shard: fingerprints
+grow with the input, so they are not broadcast.
 
 Null, empty and blank texts have fingerprint zero and are linked like any other; ties and repeated rows are in one
 component; texts of any length are hashed in blocks of shingles; an empty table gives no rows; columns other than
@@ -19,11 +20,13 @@ doc_id and text are not read. Null ids are left out of the links and get no comp
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut
@@ -112,43 +115,53 @@ class BKForest:
                 node = self.child[np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())]
 
 
-def block_bounds(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 1 blocks of the 64 bits."""
-    cuts = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+ALL = (1 << 64) - 1
+#: A shard with so few open bits, which is 2 ** FREE values at most, is cut no finer.
+FREE = 14
+
+
+def pieces(mask: int, n: int) -> list[int]:
+    """The bits of a mask cut into n masks."""
+    bits = [i for i in range(64) if mask >> i & 1]
+    cuts = [round(len(bits) * i / n) for i in range(n + 1)]
+    return [sum(1 << i for i in bits[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+def signed(mask: int) -> Column:
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
 
 
 def links(distinct: DataFrame, radius: int = 2, shard_limit: int = 2048, packs: int = 64) -> DataFrame:
-    """Distinct (fp, node) to links (a, b) of nodes within ``radius`` bits, enough to connect every component.
+    """Distinct (fp, node) to links (a, b) of nodes within ``radius`` bits.
 
     ``packs``: groups of shards; each is one Python call.
     """
-    if radius != 2:
-        raise ValueError("oversized shards are linked for radius 2 only")
-    keys = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias("part")) for i, (s, w) in enumerate(block_bounds(radius))]
-    spread = distinct.select("fp", "node", F.explode(F.array(*keys)).alias("k")).select("fp", "node", "k.block", "k.part")
-    sizes = spread.groupBy("block", "part").agg(F.count("*").alias("size")).where("size > 1")
-    sharded = spread.join(sizes, ["block", "part"])
-
-    def trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            shard = np.unique(np.stack([pdf["block"], pdf["part"]], 1), axis=0, return_inverse=True)[1].ravel()
-            node = pdf["node"].to_numpy()
-            for q, o in BKForest(shard, pdf["fp"].to_numpy().astype(np.int64).view(np.uint64)).links(radius):
-                yield pd.DataFrame({"a": node[q], "b": node[o]})
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([*trees(iter([pdf])), pd.DataFrame({"a": [], "b": []}, dtype=np.int64)])
 
+    def trees(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard = pdf.groupby(["mask", "part"], sort=False).ngroup().to_numpy()
+        node = pdf["node"].to_numpy()
+        found = BKForest(shard, pdf["fp"].to_numpy().astype(np.int64).view(np.uint64)).links(radius)
+        return pd.concat([*(pd.DataFrame({"a": node[q], "b": node[o]}) for q, o in found), pd.DataFrame({"a": [], "b": []}, dtype=np.int64)])
+
+    masks, levels = pieces(ALL, radius + 1), []
+    rows = distinct.select("fp", "node", F.explode(F.array(*map(signed, masks))).alias("mask"))
+    while True:
+        keyed = rows.withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
+        sizes = keyed.groupBy("mask", "part").agg(F.count("*").alias("size")).where("size > 1")
+        sharded = keyed.join(sizes, ["mask", "part"])
+        finest = all(64 - m.bit_count() <= FREE for m in masks)
+        levels.append(sharded if finest else sharded.where(F.col("size") <= shard_limit))
+        crowded = None if finest else cut(sharded.where(F.col("size") > shard_limit).select("fp", "node", "mask"))
+        if crowded is None or crowded.isEmpty():
+            break
+        finer = {m: [m | p for p in pieces(ALL & ~m, radius + 1)] for m in masks}
+        of = F.create_map(*chain.from_iterable((signed(m), F.array(*map(signed, x))) for m, x in finer.items()))
+        rows = crowded.select("fp", "node", F.explode(of[F.col("mask")]).alias("mask"))
+        masks = [x for made in finer.values() for x in made]
+    every = reduce(DataFrame.union, [level.select("fp", "node", "mask", "part") for level in levels])
     # shards of a few members are packed together, so that a Python call has many of them
-    packed = sharded.where(F.col("size") <= shard_limit).withColumn("pack", F.pmod(F.xxhash64("block", "part"), F.lit(packs)))
-    by_tree = packed.groupBy("pack").applyInPandas(group, "a long, b long")
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
-    crowded = sharded.where(F.col("size") > shard_limit).select("fp", "node").distinct()
-    flipped = crowded.select("node", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("value"))
-    lowest = flipped.groupBy("value").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    by_flip = flipped.join(lowest, "value").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    return by_tree.union(by_flip)
+    packed = every.withColumn("pack", F.pmod(F.xxhash64("mask", "part"), F.lit(packs)))
+    return packed.groupBy("pack").applyInPandas(trees, "a long, b long").distinct()
 
 
 #: Distinct fingerprints for each group of shards, so that a group stays a few MB at any size of the input.
