@@ -182,16 +182,18 @@ def edit_distance(item, text):
     return min(row)
 
 
-def test_decontamination_against_edit_distance():
+@pytest.mark.parametrize("letters", ["abcdefgh ", "äбгд漢字é😀 "])
+def test_decontamination_against_edit_distance(letters):
+    """An edit costs one in any script."""
     rng = np.random.default_rng(0)
-    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
-    items = [decontam.normal(word(rng.integers(60, 150))) for _ in range(5)] + [b"tiny"]
+    word = lambda n: "".join(rng.choice(list(letters), n))
+    items = [decontam.normal(word(rng.integers(60, 150))) for _ in range(5)] + ["tiny"]
     index = decontam.Index(list(range(6)), items, decontam.RATE)
     for _ in range(60):
         j = int(rng.integers(5))
-        s = bytearray(items[j])
+        s = list(items[j])
         for _ in range(rng.integers(0, int(decontam.RATE * len(s)) + 3)):
-            p, c = int(rng.integers(len(s))), ord(rng.choice(list("abcdefgh")))
+            p, c = int(rng.integers(len(s))), rng.choice(list(letters.strip()))
             kind = rng.integers(3)
             if kind == 0:
                 s[p] = c
@@ -199,23 +201,24 @@ def test_decontamination_against_edit_distance():
                 del s[p]
             else:
                 s.insert(p, c)
-        text = decontam.normal(f"{word(80)} {s.decode()} {word(80)}")
+        text = decontam.normal(f"{word(80)} {''.join(s)} {word(80)}")
         d, got = edit_distance(items[j], text), [x for x in index.find([text]) if x[1] == j]
         assert bool(got) == (d <= int(decontam.RATE * len(items[j])))
         assert not got or min(x[4] for x in got) == d
-    assert [x[:2] for x in index.find([b"a tiny one", b""])] == [(0, 5)]
+    assert [x[:2] for x in index.find(["a tiny one", ""])] == [(0, 5)]
 
 
 def test_every_match_of_a_short_item():
-    index = decontam.Index([1, 2], [b"abc", b"aa"], 0.06)
-    assert sorted(index.find([b"abc x abc aaaaa", b"none", b"abcabc"])) == [(0, 0, 0, 3, 0), (0, 0, 6, 9, 0), (0, 1, 10, 12, 0), (0, 1, 12, 14, 0), (2, 0, 0, 3, 0), (2, 0, 3, 6, 0)]
+    index = decontam.Index([1, 2], ["abc", "a a"], 0.06)
+    assert sorted(index.find(["abc x abc a a a a", "none", "(abc) abcs xabc"])) == [(0, 0, 0, 3, 0), (0, 0, 6, 9, 0), (0, 1, 10, 13, 0), (0, 1, 14, 17, 0), (2, 0, 1, 4, 0)]
+    assert not list(decontam.Index([1], ["an"], 0.06).find(["many people and cans"])) and list(decontam.Index([1], ["an"], 0.06).find(["an"]))
 
 
 def test_matches_across_segments(monkeypatch):
     monkeypatch.setattr(decontam, "SEGMENT", 300)
-    item = decontam.normal(" ".join(f"w{i}x" for i in range(30)))
+    item = decontam.normal(" ".join(f"w{i}é" for i in range(30)))
     for at in range(0, 700, 37):
-        text = b"z " * (at // 2) + item + b" y" * 400
+        text = "z " * (at // 2) + item + " y" * 400
         assert {(x[2], x[3]) for x in decontam.Index([1], [item], 0.06).find([text])} == {(at // 2 * 2, at // 2 * 2 + len(item))}
 
 

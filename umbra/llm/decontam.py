@@ -1,11 +1,11 @@
 """Benchmark decontamination with the q-gram lemma, diagonal bands and banded alignment.
 
-Texts and benchmark items are lower-cased, white space runs become one space, and both are compared as UTF-8 bytes.
-A region matches an item of m bytes if it is within e = floor(``rate`` * m) edits of the whole item. Such a region shares
-at least m - q + 1 - q * e q-grams with it, on diagonals no further apart than e. So shared q-grams are counted in
-overlapping bands of 2 * e diagonals, one every e; bands that reach the bound are kept, and a banded alignment of the item
-with their region decides. Items too short for a positive bound get the largest e that has one; those under q bytes
-must occur as they are.
+Texts and benchmark items are lower-cased, white space runs become one space, and both are compared character by character
+(code points), so an edit costs the same in any script. A region matches an item of m characters if it is within
+e = floor(``rate`` * m) edits of the whole item. Such a region shares at least m - q + 1 - q * e q-grams with it, on diagonals
+no further apart than e. So shared q-grams are counted in overlapping bands of 2 * e diagonals, one every e; bands that reach
+the bound are kept, and a banded alignment of the item with their region decides. Items too short for a positive bound get the
+largest e that has one; those under q characters must occur as they are, as whole words.
 
 Documents are read narrowly, segment by segment with overlap, so memory depends on neither a text's nor a table's size. The
 benchmark goes to the workers in blocks of at most ``block_bytes``; each block is one pass over the documents.
@@ -28,32 +28,49 @@ from pyspark.sql import functions as F
 
 Q = 10
 RATE = 0.06
-#: Bytes of text that are looked at together.
+#: Characters of text that are looked at together.
 SEGMENT = 1 << 20
 BLOCK_BYTES = 4 << 20
 TABLE_BITS = 22
-ODD_1, ODD_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_rng = np.random.default_rng(23)
+ODD = _rng.integers(1, 1 << 63, Q // 2, dtype=np.uint64) | np.uint64(1)
 
 
-def normal(text: str | None) -> bytes:
-    return " ".join((text or "").lower().split()).encode()
+def normal(text: str | None) -> str:
+    return " ".join((text or "").lower().split())
 
 
-def gram_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of the Q bytes at each position."""
-    n = len(data) - Q + 1
+def points(text: str) -> bytes:
+    return text.encode("utf-32-le", "surrogatepass")
+
+
+def gram_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of the Q characters at each position."""
+    data, n = points(text), len(text) - Q + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    eight = np.ndarray((n,), "<u8", data, 0, (1,)) * ODD_1
-    two = np.ndarray((n,), "<u2", data, 8, (1,)) * ODD_2
-    h = eight ^ two
+    h = np.zeros(n, np.uint64)
+    for k, odd in enumerate(ODD):  # two characters at a time
+        h += np.ndarray((n,), "<u8", data, 8 * k, (4,)) * odd
     h ^= h >> np.uint64(29)
-    h *= ODD_2
+    h *= ODD[0]
     return h
 
 
+def whole_words(text: str, item: str) -> Iterator[int]:
+    """Where the item stands in the text with no letter or digit going on before or after it; of overlapping ones the first."""
+    at = text.find(item)
+    while at >= 0:
+        z = at + len(item)
+        if not (at and text[at - 1].isalnum() and item[0].isalnum()) and not (text[z : z + 1].isalnum() and item[-1].isalnum()):
+            yield at
+            at = text.find(item, z)
+        else:
+            at = text.find(item, at + 1)
+
+
 def budget(m: int, rate: float) -> tuple[int, int]:
-    """(e, shared q-grams at least) for an item of m bytes, m >= Q."""
+    """(e, shared q-grams at least) for an item of m characters, m >= Q."""
     e = int(rate * m)
     while e and m - Q + 1 - Q * e < 1:
         e -= 1
@@ -65,7 +82,7 @@ class Index:
     """The q-grams of a block of items."""
 
     ids: list[int | None]
-    items: list[bytes]
+    items: list[str]
     rate: float
 
     def __post_init__(self):
@@ -86,16 +103,14 @@ class Index:
         self.there = np.zeros(1 << TABLE_BITS, bool)
         self.there[self.hash >> np.uint64(64 - TABLE_BITS)] = True
 
-    def find(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
+    def find(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, start, end, edits) of every match in normalised texts."""
         batch, size = [], 0
         seen: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for i, t in enumerate(texts):
             for j in self.short:
-                at = t.find(self.items[j])
-                while at >= 0:
+                for at in whole_words(t, self.items[j]):
                     yield i, j, at, at + len(self.items[j]), 0
-                    at = t.find(self.items[j], at + len(self.items[j]))  # of overlapping matches the first stays
             for at in range(0, max(1, len(t) - self.overlap), SEGMENT):
                 part = t[at : at + SEGMENT + self.overlap]
                 batch.append((i, at, part))
@@ -108,12 +123,12 @@ class Index:
             for a, z, d in found:
                 yield i, j, a, z, d
 
-    def _in(self, parts: list[tuple[int, int, bytes]], seen: dict[tuple[int, int], list[tuple[int, int, int]]]) -> None:
+    def _in(self, parts: list[tuple[int, int, str]], seen: dict[tuple[int, int], list[tuple[int, int, int]]]) -> None:
         """Adds what the parts hold to ``seen``; of overlapping matches of an item, as two bands or two segments find
         them, the one with the fewest edits stays."""
         if not parts or not len(self.hash):
             return
-        h = gram_hashes((b"\0" * Q).join(p for _, _, p in parts) + b"\0" * Q)
+        h = gram_hashes(("\0" * Q).join(p for _, _, p in parts) + "\0" * Q)
         at = np.flatnonzero(self.there[h >> np.uint64(64 - TABLE_BITS)])
         h = h[at]
         k = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
@@ -151,7 +166,7 @@ class Index:
                     near.append(found)
 
 
-def aligned(item: bytes, region: bytes, e: int) -> list[tuple[int, int, int]]:
+def aligned(item: str, region: str, e: int) -> list[tuple[int, int, int]]:
     """The best (start, end, edits) of the whole item in the region, if within e edits."""
     if (at := region.find(item)) >= 0:
         return [(at, at + len(item), 0)]
@@ -159,18 +174,18 @@ def aligned(item: bytes, region: bytes, e: int) -> list[tuple[int, int, int]]:
     if not e or n < m - e:
         return []
     unit = 1 << 24  # a cell holds edits * unit + start
-    text = np.frombuffer(region, np.uint8)
+    text = np.frombuffer(points(region), np.uint32)
     width = max(1, n - m + 2 * e + 1)
     # cell c of row i stands for the region's prefix of length i + c - e
     prefix = np.arange(width) - e
     row = np.where((prefix >= 0) & (prefix <= n), prefix, unit * (m + 1))
     ramp = np.arange(width) * unit
     big = unit * (m + 2)
-    for i, byte in enumerate(item, 1):
+    for i, point in enumerate(map(ord, item), 1):
         j = prefix + i
         inside = (j >= 1) & (j <= n)
         same = np.zeros(width, bool)
-        same[inside] = text[j[inside] - 1] == byte
+        same[inside] = text[j[inside] - 1] == point
         step = np.where(inside, row + np.where(same, 0, unit), big)
         skip = np.append(row[1:], big) + unit
         row = np.minimum(step, np.where((j >= 0) & (j <= n), skip, big))
@@ -194,7 +209,7 @@ def indexes(benchmark: DataFrame, rate: float, block_bytes: int) -> Iterator[Ind
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each match: (doc_id, item_id, start, end, edits); offsets are bytes of the normalised text."""
+    """One row for each match: (doc_id, item_id, start, end, edits); offsets count code points of the normalised text."""
     names = ["doc_id", "item_id", "start", "end", "edits"]
 
     def search(index: Index) -> DataFrame:
