@@ -40,6 +40,34 @@ def test_long_runs_are_stitched():
         assert pretoken.splitter(P.PATTERN)(text) == regex.findall(P.PATTERN, text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="a' relvs1!\n é", max_size=300), st.integers(20, 50), st.integers(8, 20))
+def test_chunks_pretokenised_apart_are_stitched(text, chunk, overlap):
+    import regex
+
+    starts = list(pretoken.chunk_starts(len(text), chunk))
+    found = [regex.findall(P.PATTERN, text[a : a + chunk + overlap]) for a in starts]
+    taken = pretoken.stitched(starts, [np.array([len(x) for x in f], np.int64) for f in found], overlap)
+    assert taken is None or [p for f, (a, z) in zip(found, taken) for p in f[a:z]] == regex.findall(P.PATTERN, text)
+
+
+def test_long_texts_are_encoded_in_many_rows(spark):
+    """Chunks of 500 characters of one text in rows of their own; equal texts, texts without a common boundary and odd characters."""
+    rng = np.random.default_rng(5)
+    words = lambda n: "".join(rng.choice(list("ab Z19 .,'!\n  éß漢😀"), n))
+    texts = [words(4000), words(501), words(499), "x" * 5000, "1" * 3000 + "é" * 900, words(2000) + "\u0558", None, ""]
+    rows = [(i, t, "k") for i, t in enumerate([*texts, texts[0], texts[0]])] + [(None, texts[0], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    own = library()
+    ids = [own.encode_ordinary(t or "") for _, t, _ in rows]
+    got = bpe.digests(df, MULTI, P.PATTERN, 500, 60).collect()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = [(d, len(x), sha(",".join(map(str, x)).encode()), sha((t or "").encode())) for (d, t, _), x in zip(rows, ids)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    got = bpe.encode(df, MULTI, P.PATTERN, long=500, overlap=60).collect()
+    assert got[0].__fields__ == ["doc_id", "key", "token_ids"] and sorted((r.doc_id, r.key, r.token_ids) for r in got if r.doc_id is not None) == [(d, k, x) for (d, _, k), x in zip(rows, ids) if d is not None]
+
+
 @settings(max_examples=100, deadline=None)
 @given(TEXTS)
 def test_bpe_as_the_library_and_back(text):

@@ -1,10 +1,13 @@
 """Byte-level BPE encoding and decoding with the ranks of a public tokenizer.
 
-Texts are pre-tokenised in overlapping chunks (``pretoken``), the pieces between stitched boundaries are encoded
-by the library's merge routine, each distinct short piece once per worker, and decoding concatenates the raw bytes
-of the ids. The pass is narrow: a text stays in its task, memory is bounded by the longest one, and a lost task
-repeats only its own rows. Null texts count as empty and give no ids; ids of other rows do not depend on ties or
-repeated rows; an empty table gives no rows; other columns are not read.
+Texts of more than ``LONG`` characters become rows of overlapping chunks, which go to as many tasks as there are and are
+pre-tokenised and merged there in parallel; a text's chunks are then stitched where the pre-token boundaries of neighbours
+resynchronise (``pretoken``), which only cuts and joins lists of ids. Equal long texts are encoded once. Other texts are one
+chunk, and stay where they are read. Pieces are merged by the library's routine, each distinct short one once per worker, and
+decoding concatenates the raw bytes of the ids. A lost task repeats only its own rows.
+
+Null texts count as empty and give no ids; ids of other rows do not depend on ties or repeated rows; an empty table gives no rows;
+other columns are not read by ``digests`` and pass through ``encode``, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .pretoken import UNSURE, splitter
+from .pretoken import UNSURE, chunk_starts, splitter, stitched
 
 #: Distinct pieces that a worker remembers, and the longest that it remembers.
-CACHE, LONGEST = 150_000, 64
+CACHE, LONGEST = 100_000, 64
+#: Characters of a chunk of a long text, and how far it reaches into the next.
+LONG, OVERLAP = 32_768, 512
 
 
 class _Pieces(dict):
@@ -76,21 +81,85 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.Rec
             yield b.slice(at, rows)
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
+def long_ids(texts: DataFrame, ranks_path: str, pattern: str, long: int, overlap: int) -> DataFrame:
+    """Texts (text) of any length to (key binary, ids binary): the ids of each distinct text, under the hash of its bytes."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                text = x.as_py()
+                starts = chunk_starts(len(text), long)
+                parts = [text[at : at + long + overlap] for at in starts]
+                yield pa.RecordBatch.from_arrays([pa.array([key_of(text)] * len(parts), pa.binary()), pa.array(starts, pa.int64()), pa.array(parts, pa.string())], ["key", "start", "part"])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(ranks_path, pattern)
+        for b in small(batches, 8):
+            lengths, counts, ids = [], [], []
+            for x in b.column(2):
+                found = [] if UNSURE.search(x.as_py()) else c.pieces(x.as_py())
+                made = [c.ids_of[p] for p in found]
+                lengths.append(np.array([len(p) for p in found], np.uint32).tobytes())
+                counts.append(np.array([len(m) for m in made], np.uint32).tobytes())
+                ids.append(np.fromiter(chain.from_iterable(made), np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.binary()) for x in (lengths, counts, ids))], ["key", "start", "part", "lengths", "counts", "ids"])
+
+    def join(t: pa.Table) -> pa.Table:
+        t = t.sort_by("start")
+        starts = t["start"].to_pylist()
+        lengths, counts, ids = ([np.frombuffer(x.as_py(), kind) for x in t[name]] for name, kind in (("lengths", np.uint32), ("counts", np.uint32), ("ids", np.int32)))
+        taken = stitched(starts, lengths, overlap) if all(map(len, lengths)) else None
+        if taken is None:  # neighbours never agree, or the library alone knows its characters: the text is encoded as one
+            text = "".join(x.as_py()[:long] for x in t["part"])
+            whole = np.array(codec(ranks_path, pattern).encode(text), np.int32)
+        else:
+            ends = [np.cumsum(np.append(0, n)) for n in counts]
+            whole = np.concatenate([x[e[a] : e[z]] for x, e, (a, z) in zip(ids, ends, taken)])
+        return pa.table({"key": t["key"][:1], "ids": pa.array([whole.tobytes()], pa.binary())})
+
+    rows = texts.mapInArrow(cut, "key binary, start long, part string").groupBy("key", "start").agg(F.first("part").alias("part"))
+    made = rows.mapInArrow(pieces, "key binary, start long, part string, lengths binary, counts binary, ids binary")
+    return made.groupBy("key").applyInArrow(join, "key binary, ids binary")
+
+
+def key_of(text: str) -> bytes:
+    return hashlib.sha256(text.encode()).digest()
+
+
+def with_ids(df: DataFrame, ranks_path: str, pattern: str, text: str, run, out: T.StructType, long: int, overlap: int) -> DataFrame:
+    """(o, t), other columns and a text, to the rows that ``run`` makes of (o, ids binary)."""
+    rows = df.select(F.struct(*[c for c in df.columns if c != text]).alias("o") if len(df.columns) > 1 else F.struct(F.lit(1).alias("_")).alias("o"), F.col(text).alias("t"))
+    is_long = F.coalesce(F.length("t") > long, F.lit(False))
+
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(ranks_path, pattern)
+
+        def ids(b: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(c.encode(t.as_py()), np.int32).tobytes() for t in b.column(1)], pa.binary())], ["o", "ids"])
+
+        return run(map(ids, small(batches)))
+
+    long_rows = rows.where(is_long)
+    ids = long_ids(long_rows.select("t"), ranks_path, pattern, long, overlap)
+    joined = long_rows.select("o", F.unhex(F.sha2("t", 256)).alias("key")).join(ids, "key").select("o", "ids")
+    return rows.where(~is_long).mapInArrow(here, out).union(joined.mapInArrow(lambda batches: run(small(batches)), out))
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", long: int = LONG, overlap: int = OVERLAP) -> DataFrame:
     """``df`` with ``text`` replaced by its ids under the name ``ids``."""
     others = [c for c in df.columns if c not in (text, ids)]
-    source = df.select(*others, F.col(text).alias("_text"))
+    source = df.select(*others, text)
     out = T.StructType([*source.schema.fields[:-1], T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks_path, pattern)
-        for b in small(batches):
-            made = [np.array(c.encode(t.as_py()), np.int32) for t in b.column(len(others))]
+        for b in batches:
+            made = [np.frombuffer(x.as_py(), np.int32) for x in b.column(1)]
             ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*made, np.empty(0, np.int32)])))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], [*others, ids])
+            kept = b.column(0).flatten()[: len(others)]
+            yield pa.RecordBatch.from_arrays([*kept, lists], [*others, ids])
 
-    return source.mapInArrow(run, out)
+    return with_ids(source, ranks_path, pattern, text, run, out, long, overlap)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids", raw: str = "decoded") -> DataFrame:
@@ -107,19 +176,21 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids",
     return df.select(*others).mapInArrow(run, out)
 
 
-def digests(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, text) to (doc_id, n_tokens, ids_sha256, decoded_sha256), encoding and decoding in one pass."""
+def digests(documents: DataFrame, ranks_path: str, pattern: str, long: int = LONG, overlap: int = OVERLAP) -> DataFrame:
+    """(doc_id, text) to (doc_id, n_tokens, ids_sha256, decoded_sha256), encoded and decoded again."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
         decimal = [str(i) for i in range(max(c.raw) + 1)]
         for b in batches:
             n, ids_sha, raw_sha = [], [], []
-            for t in b.column(1):
-                ids = c.encode(t.as_py())
+            for x in b.column(1):
+                ids = np.frombuffer(x.as_py(), np.int32).tolist()
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                 raw_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0).field(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())], names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return with_ids(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ranks_path, pattern, "text", run, out, long, overlap)

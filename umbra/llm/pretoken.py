@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import regex
 
 CHUNK, OVERLAP = 8192, 256
@@ -56,3 +57,26 @@ def splitter(pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP):
         return out + now
 
     return pieces
+
+
+def chunk_starts(n: int, chunk: int) -> range:
+    """Where the chunks of a text of n characters begin; each reaches ``overlap`` past the start of the next."""
+    return range(0, max(1, n), chunk)
+
+
+def stitched(starts: list[int], lengths: list[np.ndarray], overlap: int) -> list[tuple[int, int]] | None:
+    """Which pieces (first, past the last) of each chunk make up the text, from the lengths of each chunk's pieces.
+
+    Chunks are pre-tokenised apart. From the first boundary that a chunk and the next have in common, far enough from the cut, the
+    next one has the right pieces. None if two neighbours have none in common, as in one run longer than the overlap.
+    """
+    bounds = [s + np.cumsum(np.append(0, x)) for s, x in zip(starts, lengths)]
+    out, first = [], 0
+    for k, at in enumerate(bounds[:-1]):
+        there = at[first:][(at[first:] >= starts[k + 1]) & (at[first:] <= starts[k + 1] + overlap - MARGIN)]
+        both = there[np.isin(there, bounds[k + 1])]
+        if not len(both):
+            return None
+        out.append((first, int(np.searchsorted(at, both[0]))))
+        first = int(np.searchsorted(bounds[k + 1], both[0]))
+    return [*out, (first, len(lengths[-1]))]
