@@ -1,5 +1,7 @@
 """URL rules, nearest neighbours, the classifier, components, groups of similar texts, the pipeline, and odd inputs to all."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -26,8 +28,27 @@ def test_url_rules(spark):
 
 def test_rules_lie_under_their_rarest_token(spark):
     df = spark.createDataFrame([("http://cheap-x.net/",), ("http://cheap-y.net/",), ("http://pills.net/",)], "url string")
-    index = {r.rule: r.token for r in urlfilter.rule_index(spark, df, urlfilter.PHRASE_RULES).collect()}
-    assert index["cheap-pills"] == "pills"
+    index = {r.rule: r.token for r in urlfilter.rule_index(spark, df, urlfilter.PATTERN_RULES + (urlfilter.Rule("^cheap-pills^"), urlfilter.Rule("ad*s"))).collect()}
+    assert index["^cheap-pills^"] == "pills" and index["^cheap-*pills^"] == "cheap" and index["ad*s"] == urlfilter.ANY
+
+
+def test_patterns_of_rules(spark):
+    """Anchors, wildcards, edges, exceptions and rules without a token against the same rules read one by one."""
+    R = urlfilter.Rule
+    rules = (R("|http://ads."), R(".gif|"), R("^track*id=^"), R("ad*s"), R("^Shop^", "allow"), R("||cdn.net/a*/x", "allow"), R("||cdn.net/"), R("||cdn.net"), R("banner^"))
+    urls = ["http://ads.x.org/", "http://x.org/ads.", "http://x.org/a.gif", "http://x.org/a.gif?", "http://x.org/track/1?id=&x", "http://x.org/track1", "http://x.org/shop/ads", "http://q.cdn.net/abc/x", "http://cdn.net/b", "http://cdn.network/", "http://x.org/banner", "http://x.org/banners/A.GIF", "HTTP://ADS.x.org/SHOP", "plain", "", None]
+
+    def verdict(url):
+        low, rest = (url or "").lower(), (url or "").split("://", 1)[1] if "://" in (url or "") else ""
+        subject = re.match("[^?#]*", re.sub("^[^/?#]*", lambda m: m[0].lower(), rest))[0]
+        sites = [r for r in rules if r.is_site and re.search(r.regex, subject)]
+        others = {r.verdict for r in rules if not r.is_site and url is not None and re.search(r.regex, low)}
+        best = max(sites, key=lambda r: (len(r.name), r.name), default=None)
+        return (best.verdict if best else "allow" if "allow" in others or not others else "block"), best and best.name
+
+    got = {r.page_id: (r.verdict, r.rule) for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert got == {i: verdict(u) for i, u in enumerate(urls)}
+    assert [got[i][0] for i in range(13)] == ["block", "block", "block", "allow", "block", "allow", "allow", "allow", "block", "block", "block", "block", "allow"]
 
 
 def test_components_of_chains_and_stars(spark):
