@@ -299,6 +299,33 @@ def test_tagger_on_held_out_forms(tagger):
     assert hits >= 0.9 * total and base < 0.5 * total and wrong <= 0.02 * total
 
 
+EMAILS = st.from_regex(r"(?i)\A[^\s@]*[^\s@.,;:!?](?:\s?[\[(]\s?at\s?[\])]\s?|\s?@\s?|\sat\s)[^\s@]+(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?|\sdot\s)[a-z0-9.-]+)+\Z")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(EMAILS.map(lambda v: (0, v)), st.tuples(st.integers(0, 3), st.text(alphabet="ab @.at[]()dot01 -+", max_size=30))))
+def test_no_valid_value_is_without_a_window(value):
+    """Whatever is valid for its kind holds a place at which windows are read."""
+    kind, text = value
+    assert not pii.valid(kind, text) or pii.PLACE.search(text)
+
+
+def test_tagger_on_plain_sentences(tagger):
+    """Sentences that the generator does not make; what is in braces is to be found."""
+    sentences = (
+        "Write to {john at example.com} please.", "You can reach {maria (at) mail [dot] org} on weekdays.", "Please e-mail {peter.miller at university dot edu} for details.", "Ring {(202) 555-0147} after lunch.",
+        "The server {10[.]0[.]0[.]1} is down again.", "Charge card {4242.4242.4242.4242} twice.", "Call {0049 171 234 567} tomorrow.", "For the invoice ask {anna_b [at] web [dot] de} today.",
+        "We meet at noon. At example.com there is more.", "Look at figure 3.2 for more.", "The cat sat at the dot com office.", "On 12.05.2021 at 10:30 we paid $300,000 for 25%.", "Version 2.0.1 came at last.",
+    )
+    found = wanted = wrong = 0
+    for s in sentences:
+        text, want = re.sub("[{}]", "", s), re.findall(r"\{(.*?)\}", s)
+        (base, added), = pii.all_spans(tagger, [text])
+        got = [text[a:b] for _, a, b in [*base, *added]]
+        found, wanted, wrong = found + len(set(want) & set(got)), wanted + len(want), wrong + len(set(got) - set(want))
+    assert found >= 0.75 * wanted and wrong <= 1
+
+
 def test_every_form_of_the_examples_has_windows(tagger):
     for text, spans in pii.examples(600, seed=31):
         for kind, a, b in spans:

@@ -3,7 +3,7 @@
 Base spans (email, ip, card, phone) follow fixed patterns and always stay. The tagger is trained in numpy from
 labelled spans that ``examples`` makes: written-out and obfuscated forms that the patterns miss. It reads overlapping windows
 around every place where a span can be at all (a digit, an ``@``, a written-out ``at``/``dot``, or a plain ``at`` before a word
-with a dot; no kind has a valid value without one), each character takes the label of the window in which it lies furthest from an edge, and
+with a dot; no value that ``valid`` accepts is without one, so nothing is lost by leaving out the rest), each character takes the label of the window in which it lies furthest from an edge, and
 the labels of a text are then read as spans once. A tagged span is added if it is valid for its kind (Luhn, ranges, numbers of
 digits) and meets no base span and no added one.
 
@@ -65,6 +65,18 @@ def base_spans(text: str) -> list[Span]:
 # ---- labelled spans -----------------------------------------------------------------------------------------------
 
 
+# What examples are made of beside syllables: names, words of host names, and prose of the corpus's languages.
+FIRST = "john maria peter anna thomas laura ahmed chen olga luis sophie marc ines jonas paul elena david sara ivan lucy".split()
+LAST = "miller garcia schmidt rossi dubois novak jensen kim lopez weber martin brown moreau silva fischer".split()
+PLACES = "example mail university web company site post office club shop institute team bank city press studio".split()
+ENDINGS = "com org net edu de es fr info io co.uk example.com example.org".split()
+PROSE = (
+    "please write to contact me or call us at the number below for details we met at noon look figure the meeting is at two in room and then "
+    "bitte schreiben sie an oder rufen sie mich um acht uhr an der die das und nicht mit por favor escriba a o llame el la de los con para "
+    "merci de nous écrire ou appeler avant le soir les des une dans pour sur page chapter version server address card phone mail e-mail".split()
+)
+
+
 def examples(n: int, seed: int = 7) -> list[tuple[str, list[Span]]]:
     """Sentences with labelled spans in forms that the patterns know and forms that they miss, and sentences with
     numbers that are no personal data."""
@@ -72,7 +84,15 @@ def examples(n: int, seed: int = 7) -> list[tuple[str, list[Span]]]:
     pick = lambda *x: x[rng.integers(len(x))]
     num = lambda k: "".join(map(str, rng.integers(0, 10, k)))
     syllables = ("an", "er", "in", "the", "re", "on", "tion", "ble", "que", "eau", "sch", "ung", "ción", "as", "ou", "li", "ma", "to", "ver", "ß", "é")
-    word = lambda: "".join(pick(*syllables) for _ in range(rng.integers(1, 4)))
+    made = lambda: "".join(pick(*syllables) for _ in range(rng.integers(1, 4)))
+    word = lambda: pick(*PROSE) if rng.random() < 0.5 else made()
+    cased = lambda w: pick(w, w, w.capitalize())
+
+    def person() -> str:
+        return cased(pick(*FIRST)) + pick("", pick(".", "_", "-", "") + cased(pick(*LAST)), pick(".", "_", "") + num(2)) if rng.random() < 0.5 else made() + pick("", "", "." + num(2), "." + made())
+
+    def host() -> str:
+        return (pick(*PLACES) if rng.random() < 0.6 else made()) + pick("", "", "-" + made(), num(1))
 
     def card() -> str:
         d = num(15)
@@ -82,14 +102,15 @@ def examples(n: int, seed: int = 7) -> list[tuple[str, list[Span]]]:
 
     def value(kind: int) -> str:
         if kind == 0:
-            return pick(word, lambda: f"{word()}.{num(2)}")() + pick("@", " at ", "(at)", " (at) ", "[at]", " [at] ", " @ ") + word() + pick(".", " dot ", "(dot)", " [dot] ", ".") + pick("com", "org", "net", "example.com")
+            at, dot = pick(("@", "."), (" at ", "."), (" at ", "."), (" at ", "."), (" at ", " dot "), (" at ", " dot "), ("(at)", "."), (" (at) ", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" [at] ", "."), (" (at) ", " [dot] "), (" @ ", "."))
+            return person() + at + dot.join([host(), *pick(*ENDINGS).split(".")])
         if kind == 1:
             return pick(".", ".", "[.]", "(.)", " . ").join(str(rng.integers(0, 256)) for _ in range(4))
         if kind == 2:
             return card()
         return pick(lambda: f"+1 ({num(3)}) {num(3)}-{num(4)}", lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"({num(3)}){num(3)}.{num(4)}", lambda: f"00{num(2)} {num(3)} {num(3)} {num(3)}", lambda: f"+{num(2)}/{num(3)}/{num(6)}")()
 
-    plain = (lambda: num(rng.integers(1, 5)), lambda: f"{num(2)}.{num(2)}.20{num(2)}", lambda: f"{num(1)}.{num(2)}", lambda: f"20{num(2)}-{num(2)}-{num(2)}", lambda: f"{num(2)}:{num(2)}", lambda: f"${num(3)},{num(3)}", lambda: f"{num(2)}%", lambda: f"v{num(1)}.{num(1)}.{num(1)}", lambda: f"AKIA{num(16)}", lambda: "the at dot", lambda: f"({num(4)})", lambda: f"{num(24)}", word, word)
+    plain = (lambda: num(rng.integers(1, 5)), lambda: f"{num(2)}.{num(2)}.20{num(2)}", lambda: f"{num(1)}.{num(2)}", lambda: f"20{num(2)}-{num(2)}-{num(2)}", lambda: f"{num(2)}:{num(2)}", lambda: f"${num(3)},{num(3)}", lambda: f"{num(2)}%", lambda: f"v{num(1)}.{num(1)}.{num(1)}", lambda: f"AKIA{num(16)}", lambda: pick("the at dot", pick("look", "meet", "sold", "online", "noon.") + f" at {host()}.{pick(*ENDINGS)}", f"at the {pick(*PLACES)}", f"sat at the dot com {pick(*PLACES)}", "at noon. at last", f"figure {num(1)}.{num(1)} at page {num(2)}", "(at) last [dot]"), lambda: f"({num(4)})", lambda: f"{num(24)}", word, word)
     out = []
     for _ in range(n):
         text, spans = "", []
@@ -201,7 +222,7 @@ class Tagger:
         np.add.at(grad["e"], codes.ravel(), dx.reshape(-1, dx.shape[2]))
         return float((z - score).mean()), grad
 
-    def fit(self, sentences: list[tuple[str, list[Span]]], epochs: int, batch: int = 64, rate: float = 0.01) -> float:
+    def fit(self, sentences: list[tuple[str, list[Span]]], epochs: int, batch: int = 64, rate: float = 0.02) -> float:
         codes, gold = windows_of(sentences)
         rng, m, v, step, last = np.random.default_rng(3), {}, {}, 0, 0.0
         for epoch in range(epochs):
@@ -251,7 +272,7 @@ def windows_of(sentences: list[tuple[str, list[Span]]]) -> tuple[np.ndarray, np.
 
 
 @functools.lru_cache(maxsize=2)
-def trained(n: int = 1200, epochs: int = 8, seed: int = 7) -> Tagger:
+def trained(n: int = 2000, epochs: int = 9, seed: int = 7) -> Tagger:
     tagger = Tagger()
     tagger.fit(examples(n, seed), epochs)
     return tagger
@@ -312,7 +333,7 @@ def reconciled(length: int, windows: list[tuple[int, np.ndarray]]) -> Iterator[S
 def valid(kind: int, value: str) -> bool:
     d = _digits(value)
     if kind == 0:
-        return bool(re.fullmatch(r"(?i)[^\s@]+(?:\s?[\[(]\s?at\s?[\])]\s?|\s?@\s?|\sat\s)[^\s@]+(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?|\sdot\s)[a-z0-9.-]+)+", value))
+        return bool(re.fullmatch(r"(?i)[^\s@]*[^\s@.,;:!?](?:\s?[\[(]\s?at\s?[\])]\s?|\s?@\s?|\sat\s)[^\s@]+(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?|\sdot\s)[a-z0-9.-]+)+", value))
     if kind == 1:
         parts = re.findall("[0-9]+", value)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and not re.search(r"[A-Za-z]", value)
