@@ -190,3 +190,115 @@ def test_repeated_values_match_by_unit(spark):
 def test_chunks_close_at_the_limit(spark):
     chunks = E.chunk_manifest(E.chunked(unit_rows(spark, ["x" * 60] * 5 + [" "]), most=200)).orderBy("chunk").collect()
     assert [(c.units, c.first_id) for c in chunks] == [(2, "body:p0000"), (2, "body:p0002"), (1, "body:p0004")]
+
+
+def test_documents_do_not_match_each_other(spark):
+    item = lambda i, d, u="b:p1", t="PERSON": (i, d, t, "Maya Verlin", u, None)
+    schema = X.ITEM.replace("id long,", "id long, doc_id long,")
+    truth = spark.createDataFrame([item(0, 1), item(1, 1), item(0, 2), item(5, 0), item(7, None)], schema)
+    guess = spark.createDataFrame([item(0, 2), item(1, 2), item(0, 1), item(9, 3), item(4, None)], schema)
+    row = E.by_type(truth, guess).where("type = 'PERSON'").first()
+    assert (row.TP, row.FP, row.FN) == (3, 2, 2)
+    missed, wrong = E.unmatched(truth, guess)
+    assert sorted((r.doc_id, r.id) for r in missed.collect()) == [(0, 5), (1, 1)] and sorted((r.doc_id, r.id) for r in wrong.collect()) == [(2, 1), (3, 9)]
+    # without documents on one side all items are of one
+    assert E.by_type(truth.drop("doc_id").withColumn("id", F.monotonically_increasing_id()), guess).where("type = 'PERSON'").first().TP == 5
+
+
+def test_matches_against_the_rule_read_one_by_one(spark):
+    rng = random.Random(7)
+    pick = lambda i: (i, rng.choice([1, 1, 2]), rng.choice(["ORG", "IP"]), rng.choice(["A b", "a  B", "c"]), rng.choice(["b:p1", "b:p2", "/b:p1", "b", "h:p1", "", None]), rng.choice([None, None, None, "x", "x y", "z"]))
+    schema = X.ITEM.replace("id long,", "id long, doc_id long,")
+    for plain in (False, True):
+        sides = [[pick(i) for i in range(70)] for _ in range(2)]
+        if plain:
+            sides = [[(*x[:4], x[4] if x[4] and ":" in x[4] else "b:p3", None) for x in side] for side in sides]
+
+        def parts(x):
+            place = (x[4] or "").lstrip("/")
+            return place, place.split(":")[0], place.split(":")[1] if ":" in place else "", " ".join((x[5] or "").split()).casefold()
+
+        want, free = set(), list(sides[1])
+        for a in sorted(sides[0], key=lambda a: (-(10 * bool(parts(a)[0]) + 5 * bool(parts(a)[3])), a[0])):
+            for b in free:
+                (p, part, unit, near), (q, part_b, unit_b, near_b) = parts(a), parts(b)
+                same = a[1:3] == b[1:3] and " ".join(a[3].split()).casefold() == " ".join(b[3].split()).casefold() and part == part_b and bool(p) == bool(q)
+                if same and (not unit or not unit_b or unit == unit_b) and (not near or not near_b or near in near_b or near_b in near):
+                    want.add((a[1], a[0], b[0]))
+                    free.remove(b)
+                    break
+        got = {tuple(r) for r in E.matches(*(spark.createDataFrame(x, schema) for x in sides)).collect()}
+        assert got == want
+
+
+def test_texts_that_hold_a_contextual_value_go_to_python(spark):
+    """The words checked in the JVM never keep a text from the rules that would hit."""
+    from umbra.operators.contextual import worth
+
+    rng = random.Random(3)
+    pieces = [w for group in (X.ADDRESSES, X.FIRMS, X.PERSONS, X.BIRTHS) for t in group for w in (t, *t.split())] + ["Registered\u00a0office:", "LIMITED", "Ab", "AB", "namely", "being", "expert", "from", "consent", "12", "é", "_", "411\x1c038", "\n", ";", "Ltd.", "MAYA", "Maya", "Olga"]
+    contexts = ["", "Contact person", "Address", "Name of the Director", "x"]
+    rows = [(i, rng.choice(["", " "]).join(rng.choice(pieces) for _ in range(rng.randrange(1, 7))) if i % 3 else " ".join(rng.choice(pieces) for _ in range(5)), rng.choice(contexts)) for i in range(1500)]
+    bits = {r.i: r.b for r in spark.createDataFrame(rows, "i int, t string, c string").select("i", worth(F.col("t"), F.col("c")).alias("b")).collect()}
+    hit = [0, 0, 0]
+    for i, t, c in rows:
+        for k, found in enumerate((addresses(t, c), organisations(t), persons(t, c))):
+            if list(found):
+                hit[k] += 1
+                assert bits[i] >> k & 1, (k, t, c)
+    assert min(hit) > 20 and sum(b == 0 for b in bits.values()) > 20
+
+
+def test_values_over_edges_against_windows():
+    """Atoms of one stream against patterns over all windows of units."""
+    from umbra.operators.propagate import WIDEST, Seed, over_many
+
+    rng = random.Random(5)
+    seeds = [Seed("PERSON", v) for v in ("Maya Verlin", "Maya B. Oslin", "A & B Ltd.", "B C", "Maya (M) Oslin")]
+    words = ["Maya", "VERLIN", "Verlin,", "B.", "Oslin", "B", "C", "A", "&", "Ltd.", "(M)", "xMaya", "é", "C_", ""]
+    for _ in range(400):
+        texts = [rng.choice(["", " "]) + " ".join(rng.choice(words) for _ in range(rng.randrange(3))) for _ in range(rng.randrange(1, 9))]
+        want = set()
+        for s in seeds:
+            pattern = r"(?<![A-Za-z0-9_])" + r"\s+".join(map(re.escape, s.value.split())) + r"(?![A-Za-z0-9_])"
+            for at in range(len(texts)):
+                for width in range(2, min(WIDEST, len(texts) - at) + 1):
+                    joined, starts = "", []
+                    for t in texts[at : at + width]:
+                        starts.append(len(joined))
+                        joined += t + " "
+                    for m in re.finditer(f"(?=({pattern}))", joined, re.IGNORECASE):
+                        a, z = m.span(1)
+                        held = [(at + k, max(a, b) - b, min(z, b + len(t)) - b) for k, (b, t) in enumerate(zip(starts, texts[at : at + width])) if a < b + len(t) and b < z]
+                        first, last = max(k for k, b in enumerate(starts) if b <= a), max(k for k, b in enumerate(starts) if b < z)
+                        if last > first and len(held) == last - first + 1 and all(texts[k][x:y].strip() for k, x, y in held):
+                            want.add((s.value, tuple(held)))
+        assert {(s.value, tuple(where)) for s, where in over_many(texts, seeds)} == want
+
+
+def test_halves_of_values():
+    from umbra.operators.propagate import Seed, over_two
+
+    def pieces(texts, value):
+        return [[(u, texts[u][a:z]) for u, a, z in where] for _, where in over_two(texts, [Seed("PERSON", value)])]
+
+    assert pieces(["signed by Tarun", "Velmora for all"], "Tarun Velmora") == [[(0, "Tarun"), (1, "Velmora")]]
+    assert pieces(["by TARUN, ", " velmora Oslin."], "Tarun Velmora Oslin") == [[(0, "TARUN, "), (1, " velmora Oslin")]]
+    for texts, value in ((["by tarun", "Velmora"], "Tarun Velmora"), (["the Bank", "Limited now"], "Bank Limited"), (["by Tarun", "", "Velmora"], "Tarun Velmora"), (["x@Tarun", "Velmora"], "Tarun Velmora"), (["Tarun", "Velmoras"], "Tarun Velmora"), (["A Tarun &", "Velmora"], "Tarun & Velmora"), (["Tarun Velmora"], "Tarun Velmora")):
+        assert pieces(texts, value) == []
+
+
+def test_merge_within_documents(spark):
+    units = spark.createDataFrame([(1, "u", "Maya Verlin Oslin"), (2, "u", "by Maya Verlin")], "doc_id long, unit_id string, text string")
+    records = spark.createDataFrame([(0, 1, "u", "PERSON", "Maya Verlin"), (1, 1, "u", "PERSON", "Maya Verlin Oslin"), (2, 2, "u", "PERSON", "Maya Verlin"), (3, 2, "u", "PERSON", "Oslin")], "id long, doc_id long, unit_id string, type string, text string")
+    kept, rejected, dropped = E.merge(records, units)
+    assert [(r.doc_id, r.start, r.end) for r in E.in_order(kept).collect()] == [(1, 0, 17), (2, 3, 14)]
+    assert [(r.id, r.reason) for r in rejected.collect()] == [(3, "not found")] and [(r.doc_id, r.text) for r in E.dropped_examples(dropped).collect()] == [(1, "Maya Verlin")]
+    assert [r.problem for r in E.validate(kept, units).collect()] == [None, None]
+
+
+def test_seeds_turn_the_pools(spark):
+    rows = [(1, "u", i, "PERSON", 0, 1, t, None) for i, t in enumerate(("A B", "C D"))]
+    df = spark.createDataFrame(rows, "doc_id long, unit_id string, seq int, type string, start int, end int, text string, identity string")
+    by = {seed: [r.replacement for r in R.replacements(df, seed=seed).orderBy("seq").collect()] for seed in (1337, 1338, 1353)}
+    assert by[1337] == by[1353] == ["Aarav Mehta", "Maya Carter"] and by[1338] == ["Maya Carter", "Rohan Shah"]

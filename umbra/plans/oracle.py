@@ -106,7 +106,59 @@ c AS (SELECT * FROM (VALUES ('PERSON', 1::BIGINT, 2::BIGINT, 1::BIGINT), ('EMAIL
 d AS (SELECT *, detected - "TP" AS "FP", ground_truth - "TP" AS "FN" FROM c)"""
 PR = '"TP"::DOUBLE / nullif("TP" + "FP", 0) AS p, "TP"::DOUBLE / nullif("TP" + "FN", 0) AS r'
 
+#: What a form holds, by the rule that makes it: spans of values and of what they are part of.
+FORMS = """
+c AS (SELECT c_custkey::BIGINT AS k, ['Tarun', 'Kiran', 'Oren', 'Lena', 'Pavel', 'Yusra', 'Imke'][c_custkey % 7 + 1] AS first,
+  ['Velmora', 'Oslin', 'Verlin', 'Dravik', 'Sundal', 'Quarrel', 'Tamsin', 'Hollin', 'Wenders', 'Birkel', 'Marlow'][(c_custkey // 7) % 11 + 1] AS last,
+  ['Bramble', 'Osprey', 'Larkspur', 'Tarn', 'Fenwick'][c_custkey % 5 + 1] || ' Power Limited' AS firm FROM customer),
+e AS (
+  SELECT k AS doc_id, 1 AS seq, 'PERSON' AS type, 0 AS s, first || ' ' || last AS value, 'table-name' AS detector, NULL AS identity FROM c
+  UNION ALL SELECT k, 2, 'PERSON', 11, upper(first || ' ' || last), 'document-person', first || ' ' || last FROM c
+  UNION ALL SELECT k, 3, 'PERSON', 10, first, 'document-cross-unit', first || ' ' || last FROM c
+  UNION ALL SELECT k, 4, 'PERSON', 0, last, 'document-cross-unit', first || ' ' || last FROM c
+  UNION ALL SELECT k, 5, 'ORG', 16, firm, 'legal-suffix', NULL FROM c
+  UNION ALL SELECT k, 6, 'ADDRESS', 19, 'Plot No. ' || (k % 90 + 10) || ', Alder Road, Norvale ' || (k % 90000 + 410000), 'address-context', NULL FROM c
+  UNION ALL SELECT k, 7, 'SSN', 4, (k % 500 + 100) || '-' || lpad((k % 99 + 1)::VARCHAR, 2, '0') || '-' || lpad((k % 9999 + 1)::VARCHAR, 4, '0'), 'regex-ssn', NULL FROM c
+  UNION ALL SELECT k, 9, 'DOB', 0, lpad((k % 28 + 1)::VARCHAR, 2, '0') || '/' || lpad((k % 12 + 1)::VARCHAR, 2, '0') || '/' || (k % 60 + 1940), 'context-dob', NULL FROM c
+  UNION ALL SELECT k, 10, 'EMAIL', 5, lower(first) || '.' || k || '@mail.example', 'regex-email', NULL FROM c
+  UNION ALL SELECT k, 11, 'IP', 5, '2001:db8::' || printf('%x', k + 4096), 'ipv6-validation', NULL FROM c
+  UNION ALL SELECT k, 12, 'PHONE', 7, '+1 303 555 ' || lpad((k % 10000)::VARCHAR, 4, '0'), 'context-phone', NULL FROM c
+  UNION ALL SELECT k, 13, 'CREDIT_CARD', 5, '4111 1111 1111 1111', 'luhn', NULL FROM c)"""
+#: Items of orders by place: how many in the truth, how many predicted, how many of both match.
+ITEMS = """
+i AS (SELECT year(o_orderdate)::BIGINT AS doc_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'PERSON' WHEN '2-HIGH' THEN 'EMAIL' WHEN '3-MEDIUM' THEN 'PHONE' WHEN '4-NOT SPECIFIED' THEN 'ORG' ELSE 'ADDRESS' END AS type,
+  count(*) FILTER (WHERE o_orderstatus <> 'O') AS t, count(*) FILTER (WHERE o_totalprice > 100000) AS p FROM orders GROUP BY 1, 2, o_custkey % 7, month(o_orderdate))"""
+NINE = "(VALUES ('PERSON'), ('EMAIL'), ('PHONE'), ('ORG'), ('ADDRESS'), ('SSN'), ('CREDIT_CARD'), ('DOB'), ('IP')) AS k(type)"
+SWEEP = (
+    hits("sweep_email", rf"[{W}.+-]", rf"[{W}.+-]", rf"[{W}.+-]+@[{W}-]+(?:\.[{W}-]+)+", "")
+    + ","
+    + hits("sweep_phone", r"[+0-9]", rf"[{W}+]", r"\+?[0-9][0-9\s()+-]{6,}[0-9]", f"[^{W}]")
+    + """,
+swept AS (SELECT doc_id, seq, 'EMAIL' AS type, s, e, trim(value) AS value FROM sweep_email
+  UNION ALL SELECT doc_id, seq, 'PHONE', s, e, trim(value) FROM sweep_phone WHERE length(regexp_replace(value, '[^0-9]', '', 'g')) >= 3)"""
+)
+UNIT = "'body:p' || lpad(seq::VARCHAR, greatest(4, length(seq::VARCHAR))::INT, '0')"
+
 ORACLE: dict[str, str] = {
+    "form_local_entities": f"""WITH {FORMS} SELECT doc_id, seq, type, s AS start, (s + length(value))::INT AS "end", value AS text, detector FROM e WHERE NOT starts_with(detector, 'document-')""",
+    "form_entities": f"""WITH {FORMS} SELECT doc_id, seq, type, s AS start, (s + length(value))::INT AS "end", value AS text, detector, identity FROM e""",
+    "form_redacted": f"""WITH {FORMS}, l AS (SELECT unnest(range(16))::INT AS seq, unnest(['Contact person', 'Aarav Mehta', 'as told by Aarav Mehta today', 'signed by Aarav Mehta', 'Aarav Mehta for all',
+      'Goods came from Asteron Technologies Pvt. Ltd. in time', 'Registered office: 101 Example Avenue, New Delhi, Delhi 110001', 'SSN 900-00-1234', 'Date of Birth', '23/05/1997', 'mail aarav.mehta@example.com only',
+      'host 2001:db8::1 is up', 'Phone: +1 202 555 0001', 'card 4242 4242 4242 4242', '', 'nothing here']) AS text) SELECT k AS doc_id, seq, text FROM c, l""",
+    "form_summary": f"""WITH {FORMS} SELECT (16 * (SELECT count(*) FROM c))::BIGINT AS paragraph_like_units_checked, count(*) AS prediction_count, count(DISTINCT (type, value)) AS distinct_predicted_values,
+      0::BIGINT AS residual_original_value_count, true AS passed FROM e""",
+    "form_scores": f"""WITH {FORMS}, n AS (SELECT type, count(*) AS found FROM e GROUP BY type),
+      d AS (SELECT k.type, CASE WHEN k.type = 'CREDIT_CARD' THEN 0 ELSE found END AS ground_truth, found AS detected, CASE WHEN k.type = 'CREDIT_CARD' THEN 0 ELSE found END AS "TP",
+        CASE WHEN k.type = 'CREDIT_CARD' THEN found ELSE 0 END AS "FP", 0::BIGINT AS "FN" FROM {NINE} JOIN n USING (type)),
+      r AS (SELECT *, {PR} FROM d) SELECT type, ground_truth, detected, "TP", "FP", "FN", {RATIOS} FROM r""",
+    "order_scores": f"""WITH {ITEMS}, n AS (SELECT type, sum(t)::BIGINT AS t, sum(p)::BIGINT AS p, sum(least(t, p))::BIGINT AS m FROM i GROUP BY type),
+      d AS (SELECT k.type, coalesce(t, 0) AS ground_truth, coalesce(p, 0) AS detected, coalesce(m, 0) AS "TP", coalesce(p - m, 0) AS "FP", coalesce(t - m, 0) AS "FN" FROM {NINE} LEFT JOIN n USING (type)),
+      r AS (SELECT *, {PR} FROM d) SELECT type, ground_truth, detected, "TP", "FP", "FN", {RATIOS} FROM r""",
+    "order_unmatched": f"""WITH {ITEMS} SELECT 'truth' AS side, doc_id, type, sum(t - least(t, p))::BIGINT AS n FROM i GROUP BY ALL HAVING sum(t - least(t, p)) > 0
+      UNION ALL SELECT 'prediction', doc_id, type, sum(p - least(t, p))::BIGINT FROM i GROUP BY ALL HAVING sum(p - least(t, p)) > 0""",
+    "document_audit_gaps": f"""{DOCS}, {SWEEP} SELECT doc_id, {UNIT} AS unit_id, type, s AS start, e AS "end", {shape('value', '')} || {sizes('value')} AS shape FROM swept a WHERE NOT EXISTS (
+      SELECT 1 FROM found b WHERE b.doc_id = a.doc_id AND b.seq = a.seq AND b.type = a.type AND b.s < a.e AND a.s < b.e)""",
+    "document_merge": f"""{DOCS} SELECT doc_id, {UNIT} AS unit_id, value AS text, s AS start, e AS "end", NULL::VARCHAR AS problem FROM found WHERE type = 'EMAIL'""",
     "units_scan": f"WITH {LINES} SELECT doc_id, 'body:p' || lpad(seq::VARCHAR, greatest(4, length(seq::VARCHAR))::INT, '0') AS unit_id, seq, length(text)::BIGINT AS n_chars FROM u",
     "units_stats": f"""WITH {LINES} SELECT doc_id, count(*) AS units, sum(length(text))::BIGINT AS chars, 'body:p0000' AS first_id,
       'body:p' || lpad(max(seq)::VARCHAR, greatest(4, length(max(seq)::VARCHAR))::INT, '0') AS last_id FROM u GROUP BY doc_id""",
@@ -141,7 +193,7 @@ ORACLE: dict[str, str] = {
       r AS (SELECT u.doc_id, u.seq, CASE WHEN x IS NULL THEN text ELSE array_to_string(list_transform(range(1, len(x) + 1), lambda i:
         substr(text, (CASE WHEN i = 1 THEN 0 ELSE x[i - 1].e END) + 1, x[i].s - (CASE WHEN i = 1 THEN 0 ELSE x[i - 1].e END)) || '[' || x[i].t || ']'), '') || substr(text, x[len(x)].e + 1) END AS out
         FROM u LEFT JOIN m USING (doc_id, seq)) SELECT doc_id, seq, md5(out) AS text_md5 FROM r""",
-    "residual_check": "SELECT 0::BIGINT AS residual",
+    "residual_check": f"""{DOCS} SELECT count(DISTINCT (doc_id, type, replace(lower(trim(regexp_replace(value, '\\s+', ' ', 'g'))), 'ß', 'ss'))) AS originals, 0::BIGINT AS residual FROM found""",
     "value_shapes": f"{DOCS} SELECT type, coalesce({shape('value', ' value')}, {classes('value')}) || {sizes('value')} AS shape, count(*) AS n FROM found GROUP BY ALL",
     "luhn_numbers": f"""WITH {LINES}, {CARD_RAW}, d AS (SELECT regexp_replace(value, '[^0-9]', '', 'g') AS digits FROM card_raw)
       SELECT length(digits)::INT AS length, {LUHN} AS valid, count(*) AS n FROM d GROUP BY ALL""",

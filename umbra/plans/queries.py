@@ -16,6 +16,7 @@ from ..operators.propagate import residuals, seeds
 from ..operators.verify import summary, values
 from ..sources import docx, tables
 from . import fixtures as X
+from . import forms as F_
 from .redaction import redact_units
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,9 +136,11 @@ def redacted_documents(spark, folder):
 
 
 def residual_check(spark, folder):
+    """How many values there were, and in how many places they still are."""
     done = redact_units(_documents(spark, folder), contextual=False, context=False)
-    left = residuals(values(done.entities), done.units)
-    return left.agg(F.count("*").alias("residual"))
+    originals = values(done.entities)
+    left = residuals(originals, done.units)
+    return originals.agg(F.count("*").alias("originals")).crossJoin(left.agg(F.count("*").alias("residual")))  # one row each
 
 
 def value_shapes(spark, folder):
@@ -154,6 +157,60 @@ def truth_chunks(spark, folder):
     return E.chunk_manifest(E.chunked(_documents(spark, folder)))
 
 
+def form_local_entities(spark, folder):
+    """All nine types over a form for each customer, before anything is propagated."""
+    found = entities(detect(with_context(F_.forms(spark, folder))))
+    return found.select("doc_id", "seq", "type", "start", "end", "text", "detector")
+
+
+def form_entities(spark, folder):
+    done = redact_units(F_.forms(spark, folder))
+    return done.entities.select("doc_id", "seq", "type", "start", "end", "text", "detector", "identity")
+
+
+def form_redacted(spark, folder):
+    return redact_units(F_.forms(spark, folder)).units.select("doc_id", "seq", "text")
+
+
+def form_summary(spark, folder):
+    done = redact_units(F_.forms(spark, folder))
+    row = summary(done.entities, done.units)
+    return row.select("paragraph_like_units_checked", "prediction_count", "distinct_predicted_values", "residual_original_value_count", "passed")
+
+
+def form_scores(spark, folder):
+    """What is found in the forms, scored against what was put in."""
+    units = F_.forms(spark, folder)
+    found = redact_units(units).entities.select(F.xxhash64("doc_id", "unit_id", "start").alias("id"), "doc_id", "type", "text", "unit_id")
+    m = E.by_type(F_.truth(spark, folder), found)
+    return m.select("type", "ground_truth", "detected", "TP", "FP", "FN", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "accuracy")))
+
+
+def order_scores(spark, folder):
+    """Items of orders scored within documents."""
+    m = E.by_type(*F_.order_items(spark, folder))
+    return m.select("type", "ground_truth", "detected", "TP", "FP", "FN", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "accuracy")))
+
+
+def order_unmatched(spark, folder):
+    missed, wrong = E.unmatched(*F_.order_items(spark, folder))
+    side = lambda df, name: df.groupBy(F.lit(name).alias("side"), "doc_id", F.upper("type").alias("type")).agg(F.count("*").alias("n"))
+    return side(missed, "truth").union(side(wrong, "prediction"))
+
+
+def document_audit_gaps(spark, folder):
+    """Shapes of e-mail addresses and phone numbers in the documents that no detector took."""
+    units = _documents(spark, folder)
+    return E.audit_gaps(units, _structured(units)).select("doc_id", "unit_id", "type", "start", "end", "shape")
+
+
+def document_merge(spark, folder):
+    """E-mail addresses as records without offsets, given their offsets again."""
+    units = _documents(spark, folder)
+    records = _structured(units).where("type = 'EMAIL'").select(F.col("start").cast("long").alias("id"), "doc_id", "unit_id", "type", "text")
+    return E.validate(E.merge(records, units)[0], units).select("doc_id", "unit_id", "text", "start", "end", "problem")
+
+
 def _fixture(texts, spans) -> Query:
     def query(spark, folder):
         return _spans(X.lines(spark, texts), spans(F.col("text")))
@@ -276,7 +333,7 @@ QUERIES: dict[str, Query] = {
         units_scan, units_stats, full_text, neighbor_context, email_spans, email_domains, ipv4_spans, card_candidates, card_spans, phone_spans, structured_entities, entity_counts_by_type,
         rollup_source_type, pii_density, labels_vs_pii, pages_text_pii, conversations_pii, mapping_serials, replacement_values, redacted_documents, residual_check, value_shapes, luhn_numbers,
         truth_chunks, local_entities, seed_values, propagated_entities, cross_unit_entities, redacted_fixture, verification_summary, evaluate_by_type, evaluate_totals, unmatched_truth,
-        unmatched_predictions, audit_gaps, audit_predictions, audit_misses, audit_summary, truth_validate, truth_merge, truth_rejects, scalar_shapes, url_endpoints, docx_units, docx_redaction,
+        form_local_entities, form_entities, form_redacted, form_summary, form_scores, order_scores, order_unmatched, document_audit_gaps, document_merge, unmatched_predictions, audit_gaps, audit_predictions, audit_misses, audit_summary, truth_validate, truth_merge, truth_rejects, scalar_shapes, url_endpoints, docx_units, docx_redaction,
     )
 } | {
     "ssn_spans": _fixture(X.SSN, S.ssns),
