@@ -130,3 +130,53 @@ def test_function_of_sql(spark):
     register(spark)
     rows = spark.sql("SELECT d.* FROM VALUES ('Mr. Ravi Kumar, Director') AS t(x), LATERAL detect_pii(t.x) AS d").collect()
     assert [(r.type, r.text) for r in rows] == [("PERSON", "Ravi Kumar")] * len(rows) and rows
+
+
+def test_demo_package(spark):
+    """The counts that are published for the described tool's own fixture of this shape."""
+    units = docx.read_units(X.demo_package(spark))
+    assert units.count() == 49 and X.demo_truth(spark).count() == 26
+    done = redact_units(units)
+    found = done.entities.withColumn("id", F.xxhash64("unit_id", "start")).drop("doc_id", "context")
+    missed, wrong = unmatched(X.demo_truth(spark), found)
+    assert missed.count() == wrong.count() == 0
+    members = docx.read_members(docx.write_packages(X.demo_package(spark), done.replaced))
+    row = summary(done.entities, done.units, members).first()
+    assert row.passed and row.prediction_count == 26 and row.distinct_predicted_values == 13 and row.hyperlinks_checked == row.field_codes_checked == 1
+
+
+def test_pages_become_packages(spark):
+    units = spark.createDataFrame([(f"page-{i:03d}", i - 1, t) for i, t in ((1, "one\ntwo"), (3, "three"))], "unit_id string, seq int, text string")
+    files = spark.createDataFrame([("a/x.pdf",), ("a/none.pdf",)], "path string")
+    units = units.withColumn("doc_id", F.xxhash64(F.lit("a/x.pdf")))
+    made = {r.path: bytes(r.content) for r in docx.page_packages(files, units).collect()}
+    assert [t for *_, t in docx.package_units(made["a/x.docx"])] == ["Source page 001", "one", "two", "Source page 003", "three"] and not list(docx.package_units(made["a/none.docx"]))
+
+
+def test_command_line_with_a_model_and_examples(spark, package, tmp_path, capsys, monkeypatch):
+    (tmp_path / "mine.py").write_text("def load():\n    return lambda text: [('ORG', 0, 4)] if text == 'foot' else []\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "mine.py"))
+    truth = tmp_path / "truth.json"
+    truth.write_text(json.dumps({"source": "in/one.docx", "annotations": [{"type": "PERSON", "text": "Maya Verlin", "unit_id": "word/document.xml:p0001"}, {"type": "EMAIL", "text": "gone@x.example"}]}))
+    orgs = []
+    for i, more in enumerate(([], ["--no-spacy"])):
+        cli.main(["--input", str(package.parent), "--output", str(tmp_path / f"o{i}"), "--ground-truth", str(truth), "--include-examples", "--seed", "1338", "--model", "mine:load", *more])
+        result = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+        orgs.append(next(m["detected"] for m in result["metrics"] if m["type"] == "ORG"))
+        assert [x["text"] for x in result["missed_examples"]] == ["gone@x.example"] and "MAYA VERLIN" in {x["text"] for x in result["wrong_examples"]}
+    assert orgs == [1, 0]
+
+
+def test_annotations_name_their_document(spark):
+    truth = spark.createDataFrame([(0, None, "ORG", "x")], "id long, doc_id long, type string, text string")
+    packages = spark.createDataFrame([("f/a.docx",), ("f/b.docx",)], "path string")
+    named = cli.of_document(truth, "input/b.docx", packages).first().doc_id
+    assert named == packages.where("path = 'f/b.docx'").select(F.xxhash64("path")).first()[0]
+    with pytest.raises(ValueError):
+        cli.of_document(truth, "other.docx", packages)
+
+
+def test_redact_in_sql(spark):
+    register(spark)
+    assert spark.sql("SELECT redact('Mr. Ravi Kumar, Director') AS a, redact(NULL) AS b, redact('') AS c").first()[:] == ("Mr. [PERSON], Director", None, "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import UNIT
@@ -84,3 +86,40 @@ def guessed(spark: SparkSession) -> DataFrame:
 
 def records(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(RECORDS), "id long, unit_id string, type string, text string")
+
+
+#: A package of 49 units: label and value cells as paragraphs, a header, a footer, a field code and a link; numbers that are no
+#: personal data. After the bar: the values to be found, in order, with their types.
+DEMO = (
+    ("Prospectus of a company that does not exist", ""), ("All values are made up.", ""), ("Company and contact", ""), ("Company", ""), ("Bramble Technologies Pvt. Ltd.", "ORG"), ("Contact person", ""),
+    ("Maya Verlin", "PERSON"), ("Registered office", ""), ("14C, Fern Park, Norvale, Norvale 110001", "ADDRESS"), ("E-mail", ""), ("maya.verlin@mailbox.example", "EMAIL"), ("Telephone", ""),
+    ("+91 98123 45670", "PHONE"), ("Date of Birth", ""), ("14/08/1998", "DOB"), ("The company, {Bramble Technologies Pvt. Ltd.}, says that {Maya Verlin} is whom to ask.", "ORG PERSON"),
+    ("Registered office: {14C, Fern Park, Norvale, Norvale 110001}; telephone {+91-98123-45670}.", "ADDRESS PHONE"), ("Write to {maya.verlin@mailbox.example} today", "EMAIL"), ("Values for checks", ""),
+    ("Field", ""), ("Value", ""), ("Social Security Number", ""), ("219-09-9999", "SSN"), ("Credit card", ""), ("4111 1111 1111 1111", "CREDIT_CARD"), ("IP address", ""), ("192.168.7.20", "IP"),
+    ("Second company", ""), ("Larkspur Foods Limited", "ORG"), ("Signatures", ""), ("Director: {Kiran Oslin}", "PERSON"), ("Signatory: {Maya Verlin}", "PERSON"), ("Partner: {Kiran Oslin}", "PERSON"),
+    ("Controls", ""), ("Order 123456789", ""), ("Invoice 1234567890123456", ""), ("Revenue 2025", ""), ("Page 123", ""), ("Ticket #12345", ""), ("Filing date: 12/01/2025", ""),
+    ("Transaction date: 01/02/2026", ""), ("More contacts", ""), ("Letters may go to {Maya Verlin} at {14C, Fern Park, Norvale, Norvale 110001}.", "PERSON ADDRESS"),
+    ("{Larkspur Foods Limited} is another company.", "ORG"), ("Other phone: {+1-202-555-0147}", "PHONE"), ("Host: {192.168.7.20}", "IP"),
+)
+DEMO_HEAD, DEMO_FOOT = ("{Bramble Technologies Pvt. Ltd.} | {+91 98123 45670}", "ORG PHONE"), ("Made up | Contact: {maya.verlin@mailbox.example} | Page", "EMAIL")
+
+
+def _plain(line: str) -> str:
+    return line.replace("{", "").replace("}", "")
+
+
+def demo_package(spark: SparkSession) -> DataFrame:
+    """(path, content) of the package."""
+    from ..sources.docx import build
+
+    link = "mailto:maya.verlin@mailbox.example"
+    content = build([_plain(t) for t, _ in DEMO], [_plain(DEMO_HEAD[0])], [_plain(DEMO_FOOT[0])], f'HYPERLINK "{link}"', link)
+    return spark.createDataFrame([("demo.docx", bytearray(content))], "path string, content binary")
+
+
+def demo_truth(spark: SparkSession) -> DataFrame:
+    rows = []
+    for unit, (line, kinds) in [*((f"word/document.xml:p{i:04d}", x) for i, x in enumerate(DEMO)), ("word/header1.xml:p0000", DEMO_HEAD), ("word/footer1.xml:p0000", DEMO_FOOT)]:
+        held = re.findall(r"\{(.*?)\}", line) or [line]
+        rows += [(len(rows) + i, kind, value, unit, None) for i, (kind, value) in enumerate(zip(kinds.split(), held))]
+    return spark.createDataFrame(rows, ITEM)

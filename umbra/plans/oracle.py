@@ -210,6 +210,8 @@ ORACLE: dict[str, str] = {
     "url_endpoints": r"""SELECT CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) || '://'
       || split_part(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*:/{0,3}([^/?#]*)', 1), '@', -1) ELSE '(unparseable)' END AS endpoint, count(*) AS n FROM pages GROUP BY 1""",
     # ---- fixtures: rows derived by hand
+    "demo_scores": """SELECT type, n AS ground_truth, n AS detected, n AS "TP", 0::BIGINT AS "FP", 0::BIGINT AS "FN" FROM (VALUES ('PERSON', 6::BIGINT), ('EMAIL', 3), ('PHONE', 4), ('ORG', 5), ('ADDRESS', 3), ('SSN', 1),
+      ('CREDIT_CARD', 1), ('DOB', 1), ('IP', 2)) AS t(type, n)""",
     "ssn_spans": rows('doc_id, seq, start, "end", value', "(0::BIGINT, 0::INT, 4::INT, 13::INT, '123456789')", "(2, 0, 3, 14, '219-09-9999')", "(4, 0, 16, 27, '219 09 9999')"),
     "dob_spans": rows(
         'doc_id, seq, start, "end", value', "(0::BIGINT, 0::INT, 15::INT, 25::INT, '14/08/1998')", "(1, 0, 15, 25, '1998-08-14')", "(2, 0, 15, 27, 'Aug 14, 1998')", "(3, 0, 15, 31, '14th August 1998')",

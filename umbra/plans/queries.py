@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import audit_shape, digits, endpoint, residual_shape, slug, value_shape
@@ -211,6 +212,14 @@ def document_merge(spark, folder):
     return E.validate(E.merge(records, units)[0], units).select("doc_id", "unit_id", "text", "start", "end", "problem")
 
 
+def demo_scores(spark, folder):
+    """The package of 49 units, found, scored against its 26 annotations."""
+    found = redact_units(docx.read_units(X.demo_package(spark))).entities
+    found = found.withColumn("id", F.row_number().over(W.partitionBy("doc_id").orderBy("seq", "start"))).drop("doc_id", "context")
+    m = E.by_type(X.demo_truth(spark), found)
+    return m.select("type", "ground_truth", "detected", "TP", "FP", "FN")
+
+
 def _fixture(texts, spans) -> Query:
     def query(spark, folder):
         return _spans(X.lines(spark, texts), spans(F.col("text")))
@@ -333,7 +342,7 @@ QUERIES: dict[str, Query] = {
         units_scan, units_stats, full_text, neighbor_context, email_spans, email_domains, ipv4_spans, card_candidates, card_spans, phone_spans, structured_entities, entity_counts_by_type,
         rollup_source_type, pii_density, labels_vs_pii, pages_text_pii, conversations_pii, mapping_serials, replacement_values, redacted_documents, residual_check, value_shapes, luhn_numbers,
         truth_chunks, local_entities, seed_values, propagated_entities, cross_unit_entities, redacted_fixture, verification_summary, evaluate_by_type, evaluate_totals, unmatched_truth,
-        form_local_entities, form_entities, form_redacted, form_summary, form_scores, order_scores, order_unmatched, document_audit_gaps, document_merge, unmatched_predictions, audit_gaps, audit_predictions, audit_misses, audit_summary, truth_validate, truth_merge, truth_rejects, scalar_shapes, url_endpoints, docx_units, docx_redaction,
+        demo_scores, form_local_entities, form_entities, form_redacted, form_summary, form_scores, order_scores, order_unmatched, document_audit_gaps, document_merge, unmatched_predictions, audit_gaps, audit_predictions, audit_misses, audit_summary, truth_validate, truth_merge, truth_rejects, scalar_shapes, url_endpoints, docx_units, docx_redaction,
     )
 } | {
     "ssn_spans": _fixture(X.SSN, S.ssns),
