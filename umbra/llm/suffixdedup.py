@@ -224,7 +224,8 @@ def remove_repeats(documents: DataFrame, with_text: bool = False, block_bytes: i
     # runs with a shared key are about as large as the input at most, with their ends
     shards = max(1, -(-total // shard_bytes))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    by_block = rows.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks))).groupBy("block")
+    # by text too: rows that share an id need not share a block
+    by_block = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).groupBy("block")
 
     def block_of(t: pa.Table) -> Block:
         return Block(t["doc_id"].to_pylist(), t["text"].to_pylist())

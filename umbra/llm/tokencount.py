@@ -1,11 +1,12 @@
 """Token counts with a whole-token shortcut.
 
-Offline proof: every vocabulary string is run through the merge routine alone; those that come back as exactly one
-token are *proven*. A pre-token that is a proven string counts as one without merging; only the rest is merged,
-each distinct short one once per worker. Special strings inside a text are one token each and end the pre-tokens
-on either side, as the library does by default.
+Offline proof: every vocabulary string is run through the merge routine alone, once, before any text is read; those that
+come back as exactly one token are *proven*, and the list of them (no longer than the vocabulary) goes with the tasks. A pre-token
+that is a proven string counts as one without merging; only the rest is merged, each distinct short one once per worker. Special
+strings inside a text are one token each and end the pre-tokens on either side, as the library does by default.
 
-Null texts count as empty (0 bytes, 0 tokens). The pass is narrow and keeps every row; other columns are not read.
+Null texts count as empty (0 bytes, 0 tokens); texts of any length are read whole; repeated rows are each counted; an empty table gives
+no rows. The pass is narrow and keeps every row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .pretoken import UNSURE, splitter
 
 #: The split of byte-level vocabularies of this family, as their files name it (ByteLevel with use_regex).
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE, LONGEST = 150_000, 64
+CACHE, LONGEST = 100_000, 64
 
 
 def byte_letters() -> dict[int, str]:
@@ -34,31 +35,35 @@ def byte_letters() -> dict[int, str]:
 
 
 class Counter(dict):
-    """Pre-token to its number of tokens."""
+    """Pre-token to its number of tokens; it begins with the proven strings, which are proved here unless they are given."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, proven: list[str] | None = None):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        if (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel" or spec["normalizer"] or spec["pre_tokenizer"].get("add_prefix_space"):
-            raise ValueError("the shortcut holds for byte-level vocabularies without a normalizer")
-        special = [t["content"] for t in spec["added_tokens"]]
+        split, added = spec["pre_tokenizer"] or {}, spec["added_tokens"]
+        if split.get("type") != "ByteLevel" or spec["normalizer"] or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError("the shortcut holds for byte-level vocabularies with their own split and without a normalizer")
+        if any(t.get(flag) for t in added for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("the shortcut holds for special strings that take nothing of what is beside them")
+        special = [t["content"] for t in added]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.letters = byte_letters()
         self.pieces = splitter(BYTE_LEVEL_PATTERN)
-        self.update(self.proven(spec["model"]["vocab"]))
+        self.update(dict.fromkeys(self.prove(spec["model"]["vocab"]) if proven is None else proven, 1))
         self.whole = len(self)
 
-    def proven(self, vocabulary: dict[str, int]) -> dict[str, int]:
+    def prove(self, vocabulary: dict[str, int]) -> list[str]:
+        """The strings that merge to the one token that they are."""
         back = {c: b for b, c in self.letters.items()}
-        merge, found = self.library.model.tokenize, {}
+        merge, found = self.library.model.tokenize, []
         for string, token in vocabulary.items():
             if all(c in back for c in string) and [t.id for t in merge(string)] == [token]:
                 try:
-                    found[bytes(back[c] for c in string).decode()] = 1
+                    found.append(bytes(back[c] for c in string).decode())
                 except UnicodeDecodeError:
                     pass  # part of a character: never a whole pre-token
         return found
@@ -82,11 +87,23 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
+_counters: dict[str, Counter] = {}
+
+
+def counter_of_worker(path: str, proven: list[str]) -> Counter:
+    """Made once for each worker; tasks refer to this function by name."""
+    if path not in _counters:
+        _counters[path] = Counter(path, proven)
+    return _counters[path]
+
+
 def token_counts(documents: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """(doc_id, text) to (doc_id, n_bytes, n_tokens, over_limit)."""
+    own = counter(path)
+    proven = list(own)[: own.whole]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path)
+        c = counter_of_worker(path, proven)
         for b in batches:
             n = pa.array([c.count(t.as_py()) for t in b.column(2)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], ["doc_id", "n_bytes", "n_tokens"])
