@@ -145,6 +145,15 @@ def test_demo_package(spark):
     assert row.passed and row.prediction_count == 26 and row.distinct_predicted_values == 13 and row.hyperlinks_checked == row.field_codes_checked == 1
 
 
+def test_stale_links_are_counted(spark, package):
+    """The members of the package as it was still hold the address in a link and in a field code."""
+    packages = docx.files(spark, str(package.parent))
+    done = redact_units(docx.read_units(packages))
+    row = summary(done.entities, done.units, docx.read_members(packages)).first()
+    assert (row.hyperlinks_checked, row.stale_hyperlinks, row.field_codes_checked, row.stale_field_codes) == (1, 1, 1, 1)
+    assert row.residual_original_value_count > 0 and not row.passed
+
+
 def test_pages_become_packages(spark):
     units = spark.createDataFrame([(f"page-{i:03d}", i - 1, t) for i, t in ((1, "one\ntwo"), (3, "three"))], "unit_id string, seq int, text string")
     files = spark.createDataFrame([("a/x.pdf",), ("a/none.pdf",)], "path string")
