@@ -172,6 +172,24 @@ def test_classifier_on_held_out_documents(spark, rated):
     assert share(good) >= 0.97 and share(toxic) <= 0.02 and share(poor) <= 0.15
 
 
+def test_classifier_on_odd_rows(spark, rated):
+    """Repeated rows share a fate, null and empty texts get the prior grade, null ids are scored like others; labels may repeat."""
+    docs, labels = rated
+    schema = "doc_id long, text string, lang string, p_best double"
+    odd = [(i, *docs[i][1:]) for i in (5, 5, 9)] + [(None, docs[5][1], None, None), (9001, None, None, 0.1), (9002, "", None, 0.1), (9003, docs[5][1], "x", None)]
+    train = spark.createDataFrame([*labels, *labels[:50], (9001, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    whole = spark.createDataFrame([*docs, *odd], schema)
+    model = quality.fit(quality.training_rows(whole, train, 6000))
+    rows = quality.graded(spark.createDataFrame(odd, schema), model).collect()
+    by = {}
+    for r in rows:
+        by.setdefault((r.text or None), set()).add((r.expected_grade, r.p_best))
+    assert len(rows) == len(odd) and all(len(x) == 1 for x in by.values()) and len(by) == 3
+    kept = quality.select(whole, train)
+    assert kept.columns == ["doc_id", "text", "lang", "expected_grade", "p_best"] and kept.count() == quality.graded(whole, model).where("p_best >= 0.5").count()
+    assert quality.select(whole.limit(0), train).count() == 0
+
+
 def test_classifier_needs_two_grades(spark, rated):
     documents = spark.createDataFrame(rated[0][:5], "doc_id long, text string, lang string, p_best double")
     none = spark.createDataFrame([(0, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
