@@ -302,3 +302,17 @@ def test_seeds_turn_the_pools(spark):
     df = spark.createDataFrame(rows, "doc_id long, unit_id string, seq int, type string, start int, end int, text string, identity string")
     by = {seed: [r.replacement for r in R.replacements(df, seed=seed).orderBy("seq").collect()] for seed in (1337, 1338, 1353)}
     assert by[1337] == by[1353] == ["Aarav Mehta", "Maya Carter"] and by[1338] == ["Maya Carter", "Rohan Shah"]
+
+
+def test_serials_of_a_whole_corpus(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(40), "u", rng.randrange(9), kind, 0, 3, f"Value {rng.randrange(150)}", None) for kind in ("ORG", "PERSON") for _ in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, unit_id string, seq int, type string, start int, end int, text string, identity string").repartition(5)
+    got = {(r.type, r.key): r.serial for r in R.serials(df, []).collect()}
+    for kind in ("ORG", "PERSON"):
+        first = {}
+        for d, _, seq, k, *_, text, _ in rows:
+            if k == kind:
+                first[text.lower()] = min(first.get(text.lower(), (99, 99)), (d, seq))
+        want = sorted(first, key=lambda v: (first[v], v))
+        assert [got[kind, v] for v in want] == list(range(len(want)))
