@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .pretoken import UNSURE, chunk_starts, splitter, stitched
 
 #: Distinct pieces that a worker remembers, and the longest that it remembers.
-CACHE, LONGEST = 100_000, 64
+CACHE, LONGEST = 60_000, 64
 #: Characters of a chunk of a long text, and how far it reaches into the next.
 LONG, OVERLAP = 32_768, 512
 
@@ -48,14 +48,24 @@ class _Pieces(dict):
         return ids
 
 
+@functools.lru_cache(maxsize=2)
+def token_bytes(ranks_path: str) -> list[bytes]:
+    """The bytes of each id; ids that the file leaves out have none."""
+    with open(ranks_path, "rb") as f:
+        ranks = {int(i): base64.b64decode(b) for b, i in map(bytes.split, f)}
+    return [ranks.get(i, b"") for i in range(max(ranks) + 1)]
+
+
+def decoded(ids: list[int], raw: list[bytes]) -> bytes:
+    return b"".join(map(raw.__getitem__, ids))
+
+
 class Codec:
     def __init__(self, ranks_path: str, pattern: str):
         import tiktoken
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.raw = {i: b for b, i in ranks.items()}
+        self.raw = token_bytes(ranks_path)
+        self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={b: i for i, b in enumerate(self.raw) if b}, special_tokens={})
         self.pieces = splitter(pattern)
         self.ids_of = _Pieces(self.library._core_bpe)
 
@@ -66,7 +76,7 @@ class Codec:
         return list(chain.from_iterable(map(self.ids_of.__getitem__, self.pieces(text))))
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.raw.__getitem__, ids))
+        return decoded(ids, self.raw)
 
 
 @functools.lru_cache(maxsize=2)
@@ -145,32 +155,34 @@ def with_ids(df: DataFrame, ranks_path: str, pattern: str, text: str, run, out:
     return rows.where(~is_long).mapInArrow(here, out).union(joined.mapInArrow(lambda batches: run(small(batches)), out))
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", long: int = LONG, overlap: int = OVERLAP) -> DataFrame:
-    """``df`` with ``text`` replaced by its ids under the name ``ids``."""
-    others = [c for c in df.columns if c not in (text, ids)]
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", raw: str | None = None, long: int = LONG, overlap: int = OVERLAP) -> DataFrame:
+    """``df`` with ``text`` replaced by its ids under the name ``ids``, and by the bytes that these decode to under ``raw`` if asked for."""
+    others = [c for c in df.columns if c not in (text, ids, raw)]
     source = df.select(*others, text)
-    out = T.StructType([*source.schema.fields[:-1], T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    out = T.StructType([*source.schema.fields[:-1], T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(raw, T.BinaryType())] if raw else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = token_bytes(ranks_path) if raw else []
         for b in batches:
             made = [np.frombuffer(x.as_py(), np.int32) for x in b.column(1)]
             ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*made, np.empty(0, np.int32)])))
-            kept = b.column(0).flatten()[: len(others)]
-            yield pa.RecordBatch.from_arrays([*kept, lists], [*others, ids])
+            columns = [*b.column(0).flatten()[: len(others)], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*made, np.empty(0, np.int32)])))]
+            if raw:
+                columns.append(pa.array([decoded(m.tolist(), table) for m in made], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, out.names)
 
     return with_ids(source, ranks_path, pattern, text, run, out, long, overlap)
 
 
-def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids", raw: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", raw: str = "decoded") -> DataFrame:
     """``df`` with the bytes of ``ids`` in a new column ``raw``; null ids decode to no bytes."""
     others = [c for c in df.columns if c != raw]
     out = T.StructType([*df.select(*others).schema.fields, T.StructField(raw, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks_path, pattern)
+        table = token_bytes(ranks_path)
         for b in small(batches):
-            made = pa.array([c.decode(x.values.tolist() if x.is_valid else []) for x in b.column(others.index(ids))], pa.binary())
+            made = pa.array([decoded(x.values.tolist() if x.is_valid else [], table) for x in b.column(others.index(ids))], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, made], [*others, raw])
 
     return df.select(*others).mapInArrow(run, out)
@@ -181,15 +193,15 @@ def digests(documents: DataFrame, ranks_path: str, pattern: str, long: int = LON
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks_path, pattern)
-        decimal = [str(i) for i in range(max(c.raw) + 1)]
+        table = token_bytes(ranks_path)
+        decimal = [str(i) for i in range(len(table))]
         for b in batches:
             n, ids_sha, raw_sha = [], [], []
             for x in b.column(1):
                 ids = np.frombuffer(x.as_py(), np.int32).tolist()
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                raw_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
+                raw_sha.append(hashlib.sha256(decoded(ids, table)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0).field(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())], names)
 
     out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
