@@ -10,8 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows hold whole texts, and a worker holds two batches of them and what it makes of one.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches for Python of ``BATCH_BYTES`` at most (or one row), where the session has Spark's own, far larger bound."""
+    if spark.conf.get(BATCH, None) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; one of fewer splits than the cluster has cores, as a single small file is, is dealt out first."""
+    bounded_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
