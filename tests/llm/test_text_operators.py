@@ -398,6 +398,46 @@ def test_boilerplate_of_short_blocks(spark):
     assert got == {i: f"words {i} of {i * 7} its {i * 13} own" for i in range(6)}
 
 
+def test_pages_against_brute_force(spark):
+    """Whole texts of pages with and without an article, on two hosts, in small shards and in one."""
+    rng, pages = np.random.default_rng(12), []
+    runs = [[f"r{k}{i}" for i in range(9)] for k in range(5)]
+    for i in range(60):
+        blocks = []
+        for _ in range(rng.integers(1, 5)):
+            words = [f"own{i}x{int(w)}" for w in rng.integers(0, 90, rng.integers(0, 6))]
+            at = int(rng.integers(0, len(words) + 1))
+            words[at:at] = runs[int(rng.integers(5))][: int(rng.integers(4, 10))] if rng.random() < 0.7 else []
+            blocks.append(words)
+        pages.append((int(i), f"http://{'ab'[i % 2]}.org/{i}", bool(i % 7 == 0), blocks))
+
+    def markup(article, blocks):
+        body = "".join(f"<div>{' '.join(b)}</div>" for b in blocks)
+        return f"<nav>menu</nav><article>{body}</article><footer>foot</footer>" if article else f"<nav>menu</nav>{body}"
+
+    def text(page):
+        _, url, article, blocks = page
+        if not article:
+            stream = [w for b in blocks for w in b]
+            others = {tuple(s[k : k + 8]) for p in pages if p[1][7] == url[7] and p[0] != page[0] for s in [[w for b in p[3] for w in b]] for k in range(len(s) - 7)}
+            starts = [k for k in range(len(stream) - 7) if tuple(stream[k : k + 8]) in others]
+            gone, at, kept = {k + j for k in starts for j in range(8)}, 0, []
+            for b in blocks:
+                if b and not set(range(at, at + len(b))) <= gone:
+                    inside = {k + j for k in starts if at <= k and k + 8 <= at + len(b) for j in range(8)}
+                    kept.append([w for k, w in enumerate(b, at) if k not in inside])
+                at += len(b)
+            blocks = kept
+        return "\n\n".join(" ".join(b) for b in blocks if b)
+
+    df = spark.createDataFrame([(i, url, markup(article, blocks)) for i, url, article, blocks in pages], "page_id long, url string, html string")
+    want = {p[0]: text(p) for p in pages}
+    for shard in (8, 1000):
+        got = {r.page_id: (r.text, r.n_chars) for r in htmltext.extract(df, pages_in_shard=shard).collect()}
+        assert got == {i: (t, len(t)) for i, t in want.items()}
+    assert any(t != "\n\n".join(" ".join(b) for b in p[3] if b) for p, t in zip(pages, want.values()))
+
+
 def test_covered_against_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(40):
