@@ -438,6 +438,27 @@ def test_pages_against_brute_force(spark):
     assert any(t != "\n\n".join(" ".join(b) for b in p[3] if b) for p, t in zip(pages, want.values()))
 
 
+def test_every_page_goes_through_an_array(spark, monkeypatch):
+    """Also on hosts where every page has an article; equal windows of a cut host meet in one shard, each in one run."""
+    pages = [(f"http://a.org/{i}", f"<article><p>w{i} one two three four five six seven eight</p></article>") for i in range(40)]
+    seen, repeated = [], htmltext.repeated
+    monkeypatch.setattr(htmltext, "repeated", lambda streams, least: seen.extend(t for _, _, t in streams) or repeated(streams, least))
+    texts = htmltext.page_texts([("a", i, htmltext.blocks(x)) for i, (_, x) in enumerate(pages)], 8, [[]] * 40)
+    assert [" ".join(t) for t in seen if t] == texts == [f"w{i} one two three four five six seven eight" for i in range(40)]
+    monkeypatch.undo()
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    for shard in (8, 1000):
+        got = htmltext.extract(df, pages_in_shard=shard)
+        assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().toString() and [r.text for r in got.orderBy("page_id").collect()] == texts
+    rng, meet = np.random.default_rng(2), {}
+    for _ in range(30):
+        tokens = [str(x) for x in rng.integers(0, 3, rng.integers(0, 60))]
+        places = [(tuple(run[k : k + 8]), c, at + k) for c, at, run in htmltext.runs_of(tokens, 8, 5) for k in range(len(run) - 7)]
+        assert [(w, k) for w, _, k in places] == [(tuple(tokens[k : k + 8]), k) for k in range(len(tokens) - 7)]
+        assert all(meet.setdefault(w, c) == c for w, c, _ in places)
+    assert len(set(meet.values())) > 1
+
+
 def test_covered_against_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(40):
