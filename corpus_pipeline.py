@@ -19,9 +19,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of similar texts (five words, 0.8)."""
+    """Keeps the smallest doc_id of each group of similar texts: SimHash fingerprints within 2 bits, found by BK-trees, and what
+    these miss by the Jaccard of whole shingle sets (five words, 0.8)."""
     bounded_batches(spark)
-    return similar.representatives(docs)
+    return similar.representatives(docs, radius=2)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

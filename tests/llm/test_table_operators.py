@@ -312,6 +312,30 @@ def test_short_copies_with_far_fingerprints(spark):
     assert {r.doc_id: r.group for r in similar.groups(df).collect()} == {i: i - i % 2 for i in range(40)}
 
 
+def test_near_duplicates_by_fingerprints_and_by_sets(spark):
+    """The pipeline's stage: links of fingerprints within two bits count, and those that fingerprints miss do too."""
+    import corpus_pipeline as C
+
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"n{w}" for w in rng.integers(0, 10**6, n)]
+    chorus, tails = words(3) * 60, [words(20) for _ in range(3)]
+    texts = [" ".join(chorus + t) for t in tails] + [" ".join(w[:cut]) for w in (words(9) for _ in range(12)) for cut in (9, 8)]
+    texts += [texts[3], None, "", " ".join(words(50)), " ".join(words(50))]
+    fps, sets = [simhash.fingerprint(t) for t in texts], [set(similar.shingles(t, 5).tolist()) for t in texts]
+    assert all(len(sets[0] & x) < 0.8 * len(sets[0] | x) for x in sets[1:3]) and any((fps[i] ^ fps[i + 1]).bit_count() > 2 for i in range(3, 27, 2))
+    root = list(range(len(texts)))
+    for _ in root:
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets):
+                if (fps[a] ^ fps[b]).bit_count() <= 2 or (not x and not y) or len(x & y) >= 0.8 * len(x | y) > 0:
+                    root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in C.near_duplicate_stage(spark, df, "").collect()) == sorted(set(root))
+    for limit in (128, 2):
+        assert {r.doc_id: r.group for r in similar.groups(df, shard_limit=limit, radius=2).collect()} == dict(enumerate(root))
+    assert C.near_duplicate_stage(spark, df.limit(0), "").count() == 0
+
+
 def test_texts_that_share_an_id(spark):
     first, second = (" ".join(f"{c}{i}" for i in range(30)) for c in "xy")
     rows = [(1, first), (1, second), (1, second), (2, second + " more"), (3, first.upper()), (1, first + " end")]

@@ -8,6 +8,9 @@ different sets, as templates or a passage copied with many small changes make, g
 links that connect whatever pairs of similar sets connect, without listing the pairs. Shards beyond ``CROWD`` sets or ``CROWD_HASHES``
 hashes are dealt into blocks, and each two blocks are linked together, so all pairs meet and no task holds more than two blocks.
 
+With ``radius``, texts are first linked by SimHash: fingerprints of 3-word shingles within so many bits, found by the BK-trees of
+``simhash``. These links count as they are; pairs of sets that they connect need no look at their Jaccard any more, and all others get it.
+
 Words and normal form as in ``simhash``. Texts without words are one group; texts with fewer words than a shingle are one shingle. Null
 ids are in no group and are kept by ``representatives``; rows of one id are one document only where their texts are similar; an empty table gives no rows; other
 columns are untouched.
@@ -22,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import components, cut
 
 BANDS, ROWS = 16, 3
@@ -65,23 +69,26 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def sketches(documents: DataFrame, k: int) -> DataFrame:
-    """(doc_id, text) to (doc_id, same, digest, n, keys), same a hash of the text as it is, n the size of the set."""
+def sketches(documents: DataFrame, k: int, marked: bool = False) -> DataFrame:
+    """(doc_id, text) to (doc_id, same, digest, n, keys, fp), same a hash of the text as it is, n the size of the set, fp null
+    unless ``marked``."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, sizes, keys = [], [], []
+            digests, sizes, keys, marks = [], [], [], []
             for t in b.column(1):
                 h = shingles(t.as_py(), k)
                 digests.append(xxhash.xxh128_digest(h.tobytes()))
                 sizes.append(len(h))
                 keys.append(sketch(h))
+                marks.append(simhash.fingerprint(t.as_py()) if marked else None)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(keys) + 1, BANDS), pa.int32()), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists], ["doc_id", "same", "digest", "n", "keys"])
+            fp = pa.array(np.array(marks, np.uint64).view(np.int64)) if marked else pa.nulls(len(b), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists, fp], ["doc_id", "same", "digest", "n", "keys", "fp"])
 
     named = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text"))
-    return named.mapInArrow(run, "doc_id long, same long, digest binary, n long, keys array<long>")
+    return named.mapInArrow(run, "doc_id long, same long, digest binary, n long, keys array<long>, fp long")
 
 
 def forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -211,29 +218,44 @@ def verified(pairs: DataFrame, named: DataFrame, documents: DataFrame, k: int, l
     return both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
 
 
-def grouped(documents: DataFrame, k: int, least: float, shard_limit: int) -> tuple[DataFrame, DataFrame]:
+def fingerprint_links(found: DataFrame, sets: DataFrame, radius: int) -> DataFrame:
+    """Texts and their sets to (node, root): components of the fingerprints within ``radius``. A set is in the one of any text that has it."""
+    marked = cut(found.select("digest", "fp").distinct().join(sets.select("digest", "node"), "digest").select("node", "fp"))
+    distinct = cut(marked.groupBy("fp").agg(F.min("node").alias("first")))
+    near = simhash.links(distinct.select("fp", F.col("first").alias("node")), radius, packs=max(64, distinct.count() // simhash.IN_PACK))
+    return components(near.union(marked.join(distinct, "fp").select("node", "first")))
+
+
+def grouped(documents: DataFrame, k: int, least: float, shard_limit: int, radius: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Documents as (doc_id, digest), and their sets as (digest, root, doc_id, same): the first text that has the set."""
-    found = cut(sketches(documents, k))
+    found = cut(sketches(documents, k, radius is not None))
     sets = found.groupBy("digest").agg(F.min(F.struct("doc_id", "same")).alias("f"), F.min_by(F.struct("n", "keys"), "doc_id").alias("s"))
     sets = cut(sets.select(F.monotonically_increasing_id().alias("node"), "digest", "f.doc_id", "f.same", "s.n", "s.keys"))
     members, named = shards(sets), sets.select("node", "doc_id", "same")
     pairs = candidate_pairs(members.where(F.col("size") <= shard_limit), least, max(64, BANDS * sets.count() // IN_PACK))
+    known = None
+    if radius is not None:
+        known = cut(fingerprint_links(found, sets, radius))
+        a, b = (known.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+        pairs = pairs.join(a, "a", "left").join(b, "b", "left").where("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select("a", "b")
     crowded = cut(members.where(F.col("size") > shard_limit))
     links = verified(cut(pairs), named, documents, k, least)
-    linked = components(links if crowded.isEmpty() else links.union(crowd_links(crowded, named, documents, k, least)))
+    if not crowded.isEmpty():
+        links = links.union(crowd_links(crowded, named, documents, k, least))
+    linked = components(links if known is None else links.union(known))
     return found.select("doc_id", "digest"), sets.join(linked, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), "doc_id", "same")
 
 
-def groups(documents: DataFrame, k: int = 5, least: float = 0.8, shard_limit: int = 128) -> DataFrame:
+def groups(documents: DataFrame, k: int = 5, least: float = 0.8, shard_limit: int = 128, radius: int | None = None) -> DataFrame:
     """(doc_id, text) to (doc_id, group): the smallest doc_id reachable over pairs of similar texts."""
-    found, sets = grouped(documents, k, least, shard_limit)
+    found, sets = grouped(documents, k, least, shard_limit, radius)
     lowest = sets.groupBy("root").agg(F.min("doc_id").alias("group"))
     return found.join(sets.select("digest", "root").join(lowest, "root"), "digest").select("doc_id", "group")
 
 
-def representatives(documents: DataFrame, k: int = 5, least: float = 0.8, shard_limit: int = 128) -> DataFrame:
+def representatives(documents: DataFrame, k: int = 5, least: float = 0.8, shard_limit: int = 128, radius: int | None = None) -> DataFrame:
     """``documents`` without all but one row of each group, one of its smallest doc_id."""
-    _, sets = grouped(documents, k, least, shard_limit)
+    _, sets = grouped(documents, k, least, shard_limit, radius)
     kept = sets.groupBy("root").agg(F.min(F.struct("doc_id", "same")).alias("f")).select("f.doc_id", F.col("f.same").alias("__same"))
     named = documents.where("doc_id IS NOT NULL").withColumn("__same", F.xxhash64("text"))
     named = named.join(kept, ["doc_id", "__same"], "left_semi").dropDuplicates(["doc_id", "__same"])
