@@ -68,6 +68,23 @@ def test_long_texts_are_encoded_in_many_rows(spark):
     assert got[0].__fields__ == ["doc_id", "key", "token_ids"] and sorted((r.doc_id, r.key, r.token_ids) for r in got if r.doc_id is not None) == [(d, k, x) for (d, _, k), x in zip(rows, ids) if d is not None]
 
 
+def test_bpe_has_one_python_worker_a_task(spark, tmp_path):
+    """Of Python nodes that no shuffle parts, each has a worker with tables of its own in the same task; a join may broadcast either side."""
+    spark.createDataFrame([(1, "word " * 400), (2, "short")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents")
+    df = spark.read.parquet(f"{tmp_path}/documents")  # of known size, so that one side is broadcast
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for made in (bpe.digests(df, MULTI, P.PATTERN, 500, 60), bpe.encode(df, MULTI, P.PATTERN, raw="decoded", long=500, overlap=60)):
+            todo = [(made._jdf.queryExecution().executedPlan(), 0)]
+            while todo:
+                node, workers = todo.pop()
+                workers = 0 if node.nodeName() == "Exchange" else workers + ("Arrow" in node.nodeName() and "ColumnarToRow" not in node.nodeName())
+                assert workers < 2, made._jdf.queryExecution().toString()
+                todo += [(node.children().apply(i), workers) for i in range(node.children().size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 @settings(max_examples=100, deadline=None)
 @given(TEXTS)
 def test_bpe_as_the_library_and_back(text):

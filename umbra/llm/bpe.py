@@ -2,7 +2,8 @@
 
 Texts of more than ``LONG`` characters become rows of overlapping chunks, which go to as many tasks as there are and are
 pre-tokenised and merged there in parallel; a text's chunks are then stitched where the pre-token boundaries of neighbours
-resynchronise (``pretoken``), which only cuts and joins lists of ids. Equal long texts are encoded once. Other texts are one
+resynchronise (``pretoken``), which only cuts and joins lists of ids. Equal long texts are encoded once, and the task that stitches
+one also makes the result columns from its ids, so no task has two Python workers at once. Other texts are one
 chunk, and stay where they are read. Pieces are merged by the library's routine, each distinct short one once per worker, and
 decoding concatenates the raw bytes of the ids. A lost task repeats only its own rows.
 
@@ -91,8 +92,9 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.Rec
             yield b.slice(at, rows)
 
 
-def long_ids(texts: DataFrame, ranks_path: str, pattern: str, long: int, overlap: int) -> DataFrame:
-    """Texts (text) of any length to (key binary, ids binary): the ids of each distinct text, under the hash of its bytes."""
+def long_ids(texts: DataFrame, ranks_path: str, pattern: str, made, out: T.StructType, long: int, overlap: int) -> DataFrame:
+    """Texts (text) of any length to (key binary, columns of ``out``): what ``made`` makes of the ids of each distinct text, under the
+    hash of its bytes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,53 +127,51 @@ def long_ids(texts: DataFrame, ranks_path: str, pattern: str, long: int, overlap
         else:
             ends = [np.cumsum(np.append(0, n)) for n in counts]
             whole = np.concatenate([x[e[a] : e[z]] for x, e, (a, z) in zip(ids, ends, taken)])
-        return pa.table({"key": t["key"][:1], "ids": pa.array([whole.tobytes()], pa.binary())})
+        return pa.Table.from_arrays([t["key"][:1], *made([whole])], ["key", *out.names])
 
     rows = texts.mapInArrow(cut, "key binary, start long, part string").groupBy("key", "start").agg(F.first("part").alias("part"))
-    made = rows.mapInArrow(pieces, "key binary, start long, part string, lengths binary, counts binary, ids binary")
-    return made.groupBy("key").applyInArrow(join, "key binary, ids binary")
+    merged = rows.mapInArrow(pieces, "key binary, start long, part string, lengths binary, counts binary, ids binary")
+    return merged.groupBy("key").applyInArrow(join, T.StructType([T.StructField("key", T.BinaryType()), *out.fields]))
 
 
 def key_of(text: str) -> bytes:
     return hashlib.sha256(text.encode()).digest()
 
 
-def with_ids(df: DataFrame, ranks_path: str, pattern: str, text: str, run, out: T.StructType, long: int, overlap: int) -> DataFrame:
-    """(o, t), other columns and a text, to the rows that ``run`` makes of (o, ids binary)."""
-    rows = df.select(F.struct(*[c for c in df.columns if c != text]).alias("o") if len(df.columns) > 1 else F.struct(F.lit(1).alias("_")).alias("o"), F.col(text).alias("t"))
+def with_ids(df: DataFrame, ranks_path: str, pattern: str, text: str, made, out: T.StructType, long: int, overlap: int) -> DataFrame:
+    """``df`` with the columns of ``out`` in place of a text: what ``made`` makes of a list of arrays of ids, one for each row."""
+    others = [f for f in df.schema.fields if f.name != text]
+    rows = df.select(F.struct(*[f"`{f.name.replace('`', '``')}`" for f in others]).alias("o") if others else F.struct(F.lit(1).alias("_")).alias("o"), F.col(text).alias("t"))
     is_long = F.coalesce(F.length("t") > long, F.lit(False))
+    own = T.StructType([T.StructField(f"__made{i}", f.dataType) for i, f in enumerate(out.fields)])
+    names = [*(f.name for f in others), *out.names]
 
     def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
-
-        def ids(b: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(c.encode(t.as_py()), np.int32).tobytes() for t in b.column(1)], pa.binary())], ["o", "ids"])
-
-        return run(map(ids, small(batches)))
+        for b in small(batches):
+            ids = [np.array(c.encode(t.as_py()), np.int32) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([*b.column(0).flatten()[: len(others)], *made(ids)], names)
 
     long_rows = rows.where(is_long)
-    ids = long_ids(long_rows.select("t"), ranks_path, pattern, long, overlap)
-    joined = long_rows.select("o", F.unhex(F.sha2("t", 256)).alias("key")).join(ids, "key").select("o", "ids")
-    return rows.where(~is_long).mapInArrow(here, out).union(joined.mapInArrow(lambda batches: run(small(batches)), out))
+    ids = long_ids(long_rows.select("t"), ranks_path, pattern, made, own, long, overlap)
+    joined = long_rows.select("o", F.unhex(F.sha2("t", 256)).alias("__key")).join(ids.withColumnRenamed("key", "__key"), "__key")
+    return rows.where(~is_long).mapInArrow(here, T.StructType([*others, *out.fields])).union(joined.select(*["o.*"] * bool(others), *own.names))
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", raw: str | None = None, long: int = LONG, overlap: int = OVERLAP) -> DataFrame:
     """``df`` with ``text`` replaced by its ids under the name ``ids``, and by the bytes that these decode to under ``raw`` if asked for."""
     others = [c for c in df.columns if c not in (text, ids, raw)]
-    source = df.select(*others, text)
-    out = T.StructType([*source.schema.fields[:-1], T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(raw, T.BinaryType())] if raw else [])])
+    out = T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(raw, T.BinaryType())] if raw else [])])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(ranks_path) if raw else []
-        for b in batches:
-            made = [np.frombuffer(x.as_py(), np.int32) for x in b.column(1)]
-            ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
-            columns = [*b.column(0).flatten()[: len(others)], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*made, np.empty(0, np.int32)])))]
-            if raw:
-                columns.append(pa.array([decoded(m.tolist(), table) for m in made], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, out.names)
+    def made(rows: list[np.ndarray]) -> list[pa.Array]:
+        ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+        columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.empty(0, np.int32)])))]
+        if raw:
+            table = token_bytes(ranks_path)
+            columns.append(pa.array([decoded(x.tolist(), table) for x in rows], pa.binary()))
+        return columns
 
-    return with_ids(source, ranks_path, pattern, text, run, out, long, overlap)
+    return with_ids(df.select(*others, text), ranks_path, pattern, text, made, out, long, overlap)
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", raw: str = "decoded") -> DataFrame:
@@ -188,21 +188,23 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", raw: str = "d
     return df.select(*others).mapInArrow(run, out)
 
 
+@functools.lru_cache(maxsize=2)
+def decimals(ranks_path: str) -> list[str]:
+    return [str(i) for i in range(len(token_bytes(ranks_path)))]
+
+
 def digests(documents: DataFrame, ranks_path: str, pattern: str, long: int = LONG, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, text) to (doc_id, n_tokens, ids_sha256, decoded_sha256), encoded and decoded again."""
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(ranks_path)
-        decimal = [str(i) for i in range(len(table))]
-        for b in batches:
-            n, ids_sha, raw_sha = [], [], []
-            for x in b.column(1):
-                ids = np.frombuffer(x.as_py(), np.int32).tolist()
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                raw_sha.append(hashlib.sha256(decoded(ids, table)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0).field(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())], names)
-
-    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return with_ids(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ranks_path, pattern, "text", run, out, long, overlap)
+    def made(rows: list[np.ndarray]) -> list[pa.Array]:
+        table, decimal = token_bytes(ranks_path), decimals(ranks_path)
+        n, ids_sha, raw_sha = [], [], []
+        for x in rows:
+            ids = x.tolist()
+            n.append(len(ids))
+            ids_sha.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+            raw_sha.append(hashlib.sha256(decoded(ids, table)).hexdigest())
+        return [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())]
+
+    out = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return with_ids(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ranks_path, pattern, "text", made, out, long, overlap)
