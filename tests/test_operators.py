@@ -348,7 +348,7 @@ def test_units_do_not_pass_through_the_driver(spark):
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
-@pytest.mark.parametrize("name", ["form_summary", "form_scores"])
+@pytest.mark.parametrize("name", ["form_redacted", "form_summary", "form_scores"])
 def test_plans_hold_no_copies_of_the_detection(spark, name):
     """They were of 60 to 200 copies of it, kept by the driver with each stage that ends."""
     plan = planned(QUERIES[name](spark, "/root/testdata/sf0.001"))
